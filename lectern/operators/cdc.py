@@ -31,11 +31,11 @@ COMBINER_IDS = 200_000
 EARLIEST = -(1 << 63)
 
 _SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("op", T.StringType()), T.StructField("us", T.LongType()), T.StructField("payload", T.StringType()), T.StructField("seq", T.LongType())])
-_CREATE = """
-CREATE TABLE newest (id VARCHAR PRIMARY KEY, us BIGINT);
-CREATE TABLE changes (id VARCHAR, op VARCHAR, us BIGINT, payload VARCHAR, seq BIGINT, PRIMARY KEY (id, op, us, payload));
-CREATE TABLE base (id VARCHAR PRIMARY KEY, us BIGINT);
-"""
+_CREATE = (
+    "CREATE TABLE newest (id VARCHAR PRIMARY KEY, us BIGINT)",
+    "CREATE TABLE changes (id VARCHAR, op VARCHAR, us BIGINT, payload VARCHAR, seq BIGINT, PRIMARY KEY (id, op, us, payload))",
+    "CREATE TABLE base (id VARCHAR PRIMARY KEY, us BIGINT)",
+)
 _UPSERT = (
     f"INSERT INTO base SELECT id, max(us) FROM batch WHERE op = '{BASE}' GROUP BY id ON CONFLICT (id) DO UPDATE SET us = excluded.us WHERE excluded.us > base.us",
     f"INSERT INTO newest SELECT id, max(us) FROM batch WHERE op <> '{BASE}' GROUP BY id ON CONFLICT (id) DO UPDATE SET us = excluded.us WHERE excluded.us > newest.us",
@@ -71,15 +71,15 @@ def _database():
     import duckdb
 
     con = duckdb.connect(":memory:", config={"threads": 1})
-    con.execute("SET preserve_insertion_order = false")
-    con.execute(_CREATE)
+    for statement in ("SET preserve_insertion_order = false", *_CREATE):
+        con.execute(statement).fetchall()
     return con
 
 
 def _upsert(con, batch: pa.RecordBatch) -> None:
     con.register("batch", pa.Table.from_batches([batch]))
     for statement in _UPSERT:
-        con.execute(statement)
+        con.execute(statement).fetchall()
     con.unregister("batch")
 
 
@@ -90,7 +90,7 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         _upsert(con, batch)
-        if con.execute("SELECT count(*) FROM newest").fetchone()[0] > COMBINER_IDS:
+        if con.execute("SELECT count(*) FROM newest").fetchall()[0][0] > COMBINER_IDS:
             yield from con.sql(_NEWEST).to_arrow_table().to_batches()
             con.close()
             con = _database()
