@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, leakage, split
+from lectern.llm import bpe, leakage, lookalike, split, variants
 from lectern.plans.tables import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.same_name_pairs(table(spark, d, "author_names"), table(spark, d, "aliases"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per spelling with the group it belongs to."""
+    return variants.name_groups(table(spark, d, "author_names"), table(spark, d, "aliases"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.unusual_fields(table(spark, d, "papers"), "id", ("title", "authors"))
+
+
+def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Every title and byline in its one form."""
+    return lookalike.canonical_values(lookalike.field_values(table(spark, d, "papers"), "id", ("title", "authors"))).select("id", "field", "canonical")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(table(spark, d, "documents"))
 
@@ -32,5 +50,5 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p7_overlaps, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_canonical, p6_ids, p7_found, p7_overlaps, p8_found, p8_pieces)}
 SQL: dict[str, str] = {}
