@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, leakage, lookalike, split, variants
+from lectern.llm import bpe, leakage, linkage, lookalike, split, variants
 from lectern.plans.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.link_works(table(spark, d, "papers"), table(spark, d, "bib_entries")).select("paper_id", "bib_key")
+
+
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """The matches with their confidence."""
+    return linkage.link_works(table(spark, d, "papers"), table(spark, d, "bib_entries"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return variants.same_name_pairs(table(spark, d, "author_names"), table(spark, d, "aliases"))
 
@@ -50,5 +59,5 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_canonical, p6_ids, p7_found, p7_overlaps, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p3_found, p3_groups, p4_found, p4_canonical, p6_ids, p7_found, p7_overlaps, p8_found, p8_pieces)}
 SQL: dict[str, str] = {}
