@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.arrowtext import text_chunks
-from lectern.functions.names import fold_text
+from lectern.functions.names import ascii_fold_text
 from lectern.llm.characters import ALIKE, INVISIBLE
 from lectern.llm.variants import _slip, parse
 from lectern.operators.multivalue import split_column
@@ -38,7 +38,7 @@ TEX_LETTERS = {"o": "o", "O": "O", "l": "l", "L": "L", "aa": "aa", "AA": "AA", "
 #: Phrases that name an edition of the same work.
 EDITIONS = re.compile(r"[\s,:.\-–—(\[]*(?:short paper|full paper|full version|extended abstract|extended version|preliminary version|revised version|or:? why less is enough)[\s)\].]*$", re.I)
 #: Abbreviations of terms.
-SHORT_TERMS = {"learningwitherrors": "lwe"}
+SHORT_TERMS = {"learningwitherrors": "lwe", "zeroknowledge": "zk", "multipartycomputation": "mpc", "identitybased": "idbased", "encryption": "enc", "authentication": "auth", "signatures": "sigs"}
 GREEK = {unicodedata.name(chr(c)).split()[-1] for c in range(0x3B1, 0x3CA)}
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
 _CLEAN = str.maketrans({**ALIKE, **{chr(c): None for c in INVISIBLE}})
@@ -66,7 +66,7 @@ def title_words(title: str | None) -> tuple[list[str], list[str], int, list[str]
         text = cut
     text = "".join(unicodedata.name(c).split()[-1][0].lower() if "α" <= c <= "ω" else c for c in text)
     head, _, tail = text.partition(":")
-    words, rest = fold_text(text).split(), fold_text(tail).split()
+    words, rest = ascii_fold_text(text).split(), ascii_fold_text(tail).split()
     part = 0
     if len(words) > 2 and (words[-1] in ROMAN or (words[-2] == "part" and words[-1].isdigit()) or words[-1].isdigit() and len(words[-1]) == 1):
         part = ROMAN.get(words[-1]) or int(words[-1])
@@ -74,7 +74,7 @@ def title_words(title: str | None) -> tuple[list[str], list[str], int, list[str]
         words, rest = words[:-drop], rest[:-drop]
     whole, wide = "".join(words), []
     for token in text.split():
-        word = "".join(fold_text(token).split())
+        word = "".join(ascii_fold_text(token).split())
         if word and whole.startswith(word, sum(map(len, wide))):
             wide.append(word)
     return words, rest if len(rest) > 2 and head.strip() else [], part, wide if sum(map(len, wide)) == len(whole) else words
@@ -84,6 +84,7 @@ def shortened(words: list[str], rest: list[str], wide: list[str]) -> tuple[set[s
     """The title without any one word; and without what stands in front: its name up to
     the colon, or two or three leading words."""
     less = {compact(w[:i] + w[i + 1 :]) for w in (words, wide) for i in range(len(w)) if len(w) > 3}
+    less.discard("")
     tails = {compact(rest)} if rest else set()
     return less, tails | {compact(wide[k:]) for k in (2, 3) if len(wide) > k + 2}
 
@@ -121,6 +122,7 @@ def blocking_keys(title: tuple[list[str], list[str], int, list[str]], persons: l
     less, tails = shortened(words, rest, wide)
     less |= {compact(rest[:i] + rest[i + 1 :]) for i in range(len(rest))} if len(rest) > 4 else set()
     whole = {compact(words)} | tails
+    less.add("".join(words))
     surnames = {s for s, _, _ in persons}
     if len(persons) == 1:  # a lone name may stand the other way round
         surnames |= {h for _, _, h in persons if h}
@@ -145,7 +147,7 @@ def title_level(a: tuple[list[str], list[str], int, list[str]], b: tuple[list[st
     less_b, tails_b = shortened(b[0], b[1], b[3])
     if x in less_b or y in less_a or x in tails_b or y in tails_a:
         return 1
-    for s, t in ((x, y), *((z, y) for z in tails_a | less_a), *((x, z) for z in tails_b | less_b)):
+    for s, t in ((x, y), ("".join(a[0]), "".join(b[0])), *((z, y) for z in tails_a | less_a), *((x, z) for z in tails_b | less_b)):
         if _slip(s, t):
             return 1
     k = 0
@@ -167,10 +169,22 @@ def title_level(a: tuple[list[str], list[str], int, list[str]], b: tuple[list[st
     return 0
 
 
+def _two_slips(a: str, b: str) -> bool:
+    """Two edits or swaps in long names: a slip of either side."""
+    n = min(len(a), len(b))
+    if n < 8 or abs(len(a) - len(b)) > 2:
+        return False
+    k = 0
+    while k < n and a[k] == b[k]:
+        k += 1
+    after = ((a[k + 1 :], b[k + 1 :]), (a[k + 1 :], b[k:]), (a[k:], b[k + 1 :]), (a[k + 2 :], b[k + 2 :]) if a[k : k + 2] == b[k : k + 2][::-1] else (a, b))
+    return any(_slip(x, y) for x, y in after)
+
+
 def same_person(a: tuple[str, str, str], b: tuple[str, str, str]) -> bool:
     """Surnames equal or one slip apart, initials not against it; or the parts of one
     stand the other way round."""
-    if a[0] == b[0] or (min(len(a[0]), len(b[0])) > 3 and _slip(a[0], b[0])):
+    if a[0] == b[0] or (min(len(a[0]), len(b[0])) > 3 and (_slip(a[0], b[0]) or _two_slips(a[0], b[0]))):
         return not a[1] or not b[1] or a[1] == b[1] or a[0] == b[0] and len(a[0]) > 3
     return bool(a[2] and b[0] and a[2] != a[0] and _slip(a[2], b[0]) or b[2] and a[0] and b[2] != b[0] and _slip(b[2], a[0]))
 
