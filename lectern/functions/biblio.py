@@ -20,7 +20,7 @@ def norm_title(text: Column | str) -> Column:
 def surnames(authors: Column | str) -> Column:
     """The normalised surnames of an ``and``-separated list: what stands before the first
     comma, else the last word."""
-    names = F.transform(F.split(_c(authors), " and "), F.trim)
+    names = F.transform(F.split(_c(authors), " and "), lambda n: F.regexp_replace(n, r"^\s+|\s+$", ""))
     last = lambda n: F.when(F.contains(n, F.lit(",")), F.substring_index(n, ",", 1)).otherwise(F.element_at(F.split(n, r"\s+"), -1))
     return F.filter(F.transform(names, lambda n: norm_title(last(n))), lambda s: s != "")
 
@@ -32,14 +32,14 @@ def paper_id_in(text: Column | str) -> Column:
 
 
 def is_paper_id(text: Column | str) -> Column:
-    return _c(text).rlike(r"^[0-9]{4}/[0-9]+$")
+    return _c(text).rlike(r"^[0-9]{4}/[0-9]+\z")
 
 
 def normal_id(text: Column | str, this_year: int) -> Column:
     """An id as stored: site address, white space and ``.pdf`` gone; a bare number is of
     this year."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(_c(text)), r"^https?://[^/]+/", ""), r"\.pdf$", "")
-    return F.when(bare.rlike(r"^\d+$"), F.concat(F.lit(f"{this_year:04d}/"), bare)).otherwise(bare)
+    return F.when(bare.rlike(r"^\d+\z"), F.concat(F.lit(f"{this_year:04d}/"), bare)).otherwise(bare)
 
 
 def split_id(text: Column | str) -> Column:
@@ -50,7 +50,7 @@ def split_id(text: Column | str) -> Column:
 
 
 def byline_array(byline: Column | str) -> Column:
-    return F.filter(F.transform(F.split(_c(byline), ";"), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(_c(byline), ";"), lambda a: F.trim(a)), lambda a: a != "")
 
 
 def _surname(name: Column) -> Column:

@@ -91,10 +91,13 @@ def author_match(byline: Column | str, needle: str) -> Column:
         return F.contains(fold_name(byline), F.lit(folded)) if folded else F.lit(False)
     authors = F.transform(F.split(_column(byline), ";"), lambda a: F.split(fold_name(a), " "))
 
+    def has(author: Column, word: str) -> Column:
+        return F.exists(author, lambda part: F.startswith(part, F.lit(word)))
+
     def has_all(author: Column) -> Column:
-        out = F.lit(True)
-        for w in words:
-            out = out & F.exists(author, lambda part, w=w: F.startswith(part, F.lit(w)))
+        out = has(author, words[0])
+        for w in words[1:]:
+            out = out & has(author, w)
         return out
 
     return F.exists(authors, has_all)

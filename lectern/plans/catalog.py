@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans import data_queries
+from lectern.plans import data_queries, search_queries
 
-QUERIES = {**data_queries.QUERIES}
-SQL = {**data_queries.SQL}
+QUERIES = {**search_queries.QUERIES, **data_queries.QUERIES}
+SQL = {**search_queries.SQL, **data_queries.SQL}
