@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from lectern.llm.characters import ALIKE, ARMENIAN_ALIKE, CYRILLIC_ALIKE, GREEK_ALIKE, INVISIBLE, LATIN_ALIKE, ODD_HYPHENS, ODD_SPACES
 
 #: Values of these characters only are ordinary as they stand.
-PLAIN = r"^[\x09\x0A\x0D\x20-\x7EÀ-ɏ]*$"
+PLAIN = r"^[\x09\x0A\x0D\x20-\x7EÀ-ɏ]*\z"
 #: Ligatures and the letters they are made of.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 FOREIGN = CYRILLIC_ALIKE | GREEK_ALIKE | ARMENIAN_ALIKE
