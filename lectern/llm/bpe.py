@@ -258,7 +258,7 @@ class ByteBPE:
     def encode_column(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """For consecutive rows lo:hi: lo, hi, ids, offsets of the rows in ids, opens."""
         for chunk in text_chunks(column):
-            if len(chunk.data) <= 2 * PART_CHARS:
+            if chunk.hi - chunk.lo > 1 or len(chunk.data) <= 2 * PART_CHARS:
                 yield chunk.lo, chunk.hi, *self._encode_bytes(chunk.data, chunk.offsets)
                 continue
             parts = [self._encode_bytes(x, np.array([0, len(x)])) for x in self.parts(chunk.data)]

@@ -102,13 +102,14 @@ def year_of(value: object) -> int:
 
 
 def people(names: list[str]) -> list[tuple[str, str, str]]:
-    """(surname, given initial, all letters in order of the folded words) of each name."""
+    """(surname, given initial, what the surname is if the name stands the other way
+    round: '' where its form settles that) of each name."""
     out = []
     for name in names:
         p = parse(plain_tex(name))
         if p["shape"] == "full":
             surname = p["surname"] or "".join(p["words"][1:])
-            out.append((surname, p["head"][:1], p["words"][-1] if not p["fixed"] else ""))
+            out.append((surname, p["head"][:1], p["head"] if not p["fixed"] else ""))
         elif p["surname"]:
             out.append((p["surname"], p["head"][:1], ""))
     return out
@@ -186,7 +187,8 @@ def same_person(a: tuple[str, str, str], b: tuple[str, str, str]) -> bool:
     stand the other way round."""
     if a[0] == b[0] or (min(len(a[0]), len(b[0])) > 3 and (_slip(a[0], b[0]) or _two_slips(a[0], b[0]))):
         return not a[1] or not b[1] or a[1] == b[1] or a[0] == b[0] and len(a[0]) > 3
-    return bool(a[2] and b[0] and a[2] != a[0] and _slip(a[2], b[0]) or b[2] and a[0] and b[2] != b[0] and _slip(b[2], a[0]))
+    turned = lambda x, y: len(x[2]) > 3 and _slip(x[2], y[0]) and (not y[1] or x[0][:1] == y[1])
+    return turned(a, b) or turned(b, a)
 
 
 def authors_level(a: list[tuple[str, str, str]], b: list[tuple[str, str, str]]) -> int:

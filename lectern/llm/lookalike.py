@@ -30,8 +30,9 @@ WIDE = {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
 WIDE_LETTERS = {a: b for a, b in WIDE.items() if b.isalnum()}
 SCRIPTS = r"\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}"
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
-#: Joiners that shape the letters around them in these scripts, or tie emoji together.
-JOINED = r"\p{IsArabic}\p{IsDevanagari}\p{IsBengali}\p{IsTamil}\p{IsTelugu}\p{IsKannada}\p{IsMalayalam}\p{IsSinhala}\p{IsKhmer}\p{IsMyanmar}\p{So}\x{1F3FB}-\x{1F3FF}\x{FE0F}"
+#: Joiners that shape the letters around them in these scripts, or tie emoji together
+#: (whose last half is what a look-behind sees).
+JOINED = r"\p{IsArabic}\p{IsDevanagari}\p{IsBengali}\p{IsTamil}\p{IsTelugu}\p{IsKannada}\p{IsMalayalam}\p{IsSinhala}\p{IsKhmer}\p{IsMyanmar}\p{So}\x{D800}-\x{DFFF}\x{FE0F}"
 _JOINERS, _EMOJI_STYLE = (0x200C, 0x200D), 0xFE0F
 _UNSEEN = "".join(f"\\x{{{c:X}}}" for c in INVISIBLE if c not in (*_JOINERS, _EMOJI_STYLE))
 _CONTROLS = r"\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x84\x86-\x9F"
@@ -55,7 +56,7 @@ def compose(values: pd.Series) -> pd.Series:
 def ordinary(value: Column) -> Column:
     """The look-alike mapping, but for accents; all of it inside the JVM."""
     seen = F.regexp_replace(value, f"[{_UNSEEN}{_CONTROLS}]", "")
-    seen = F.regexp_replace(seen, rf"(?<![{JOINED}])[\x{{200C}}\x{{200D}}]|(?<![\p{{So}}\p{{Sk}}\x{{23}}\x{{2A}}0-9\x{{203C}}-\x{{3299}}])\x{{FE0F}}", "")
+    seen = F.regexp_replace(seen, rf"(?<![{JOINED}])[\x{{200C}}\x{{200D}}]|(?<![\p{{So}}\p{{Sk}}\x{{D800}}-\x{{DFFF}}\x{{23}}\x{{2A}}0-9\x{{203C}}-\x{{3299}}])\x{{FE0F}}", "")
     asian = seen.rlike(f"[{CJK}]")
     spaced = F.regexp_replace(seen, r"[\x{2028}\x{2029}\x{85}]", "\n")
     spaced = _translate(spaced, {chr(c): " " for c in ODD_SPACES if c != 0x3000} | {chr(c): "-" for c in ODD_HYPHENS if c != 0xFF0D} | WIDE_LETTERS)

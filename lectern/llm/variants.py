@@ -128,7 +128,7 @@ def parse(name: str | None) -> dict:
     words = clean([t for t, m in zip(given, marks) if not m])
     if len(words) < 2:
         return out
-    if words[0] in PARTICLES:  # "van Surname Given"
+    if words[0] in PARTICLES and len(words) > 2:  # "van Surname Given"
         return out | {"shape": "full", "fixed": True, "head": words[-1], "words": [words[-1]], "middle": middle, "surname": "".join(words[:-1])}
     return out | {"shape": "full", "head": words[0], "tail": words[-1], "words": words, "middle": middle}
 
