@@ -6,8 +6,9 @@ guest of every other cell that could hold a partner.  By the triangle inequality
 x can have a partner within r at home in the cell of pivot p only if d(x, p) is at most r
 more than the largest distance of the cell's residents from p, and at most 2r more than
 x's distance from its own pivot.  Inside a cell residents meet residents and guests whose
-distances from the pivot differ by at most r, and the distance itself decides.  Each pair
-is found, in the home cell of its one or other end, and none is missed.
+distances from the pivot differ by at most r, whose lengths do too, and whose letters differ
+by no more than r edits can change; the distance itself decides.  Each pair is found in
+the home cell of one of its ends, and none is missed.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ MAX_PIVOTS = 2048
 #: Longest prefix of a string that goes into the vectorised comparison.
 LONG = 255
 PAIRS = 1 << 14
+#: Cells of a matrix of residents and members tested at once.
+MATRIX = 1 << 22
 
 
 def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -39,6 +42,20 @@ def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, length
 
 
+def letters(words: list[str]) -> np.ndarray:
+    """64 bits of each string: which characters occur, and which occur twice.  Inserting or
+    removing a character changes one bit at most, replacing one two."""
+    out = np.zeros(len(words), np.uint64)
+    for i, w in enumerate(words):
+        bits = twice = 0
+        for c in w:
+            bit = 1 << (ord(c) & 31)
+            twice |= bits & bit
+            bits |= bit
+        out[i] = bits | twice << 32
+    return out
+
+
 def distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
     """Levenshtein distance of row i of ``a`` and row i of ``b``, all rows at once."""
     n = len(la)
@@ -77,7 +94,8 @@ def radius_pairs(strings: DataFrame, radius: int, seed: int = 7, cell: int = CEL
     found.  An empty or single-row input gives no rows.
     """
     spark = strings.sparkSession
-    if "query" not in strings.columns:
+    mixed = "query" in strings.columns
+    if not mixed:
         strings = strings.select("key", F.lit(True).alias("query"))
     base = written(strings.filter(F.col("key").isNotNull()).groupBy("key").agg(F.max("query").alias("query")), "metric")
     n = base.count()
@@ -98,7 +116,12 @@ def radius_pairs(strings: DataFrame, radius: int, seed: int = 7, cell: int = CEL
                     d[:, k] = distances(np.broadcast_to(p[k], (len(part), p.shape[1])), np.full(len(part), lp[k]), x, lx)
                 home = d.argmin(1)
                 near = d[np.arange(len(part)), home]
-                i, k = np.nonzero(d <= near[:, None] + 2 * radius)
+                stays = np.arange(len(lp)) == home[:, None]
+                if mixed:  # a query visits all cells, the others stay at home
+                    visits = part["query"].to_numpy()[:, None] & ~stays
+                else:  # of two cells the one with the smaller number sends its guest
+                    visits = np.arange(len(lp)) > home[:, None]
+                i, k = np.nonzero(stays | visits & (d <= near[:, None] + 2 * radius))
                 yield pd.DataFrame({"key": part.key.to_numpy()[i], "query": part["query"].to_numpy()[i], "cell": k.astype(np.int32), "far": d[i, k].astype(np.int32), "home": k == home[i]})
 
     placed = written(base.repartition(max(spark.sparkContext.defaultParallelism * 2, 1), "key").mapInPandas(assign, "key string, query boolean, cell int, far int, home boolean"), "cells")
@@ -106,28 +129,25 @@ def radius_pairs(strings: DataFrame, radius: int, seed: int = 7, cell: int = CEL
     kept = placed.join(F.broadcast(reach) if wanted <= max_pivots else reach, "cell").filter(F.col("home") | (F.col("far") <= F.col("reach") + radius)).drop("reach")
 
     def join(cell_rows: pd.DataFrame) -> pd.DataFrame:
-        rows = cell_rows.sort_values("far", kind="stable")
-        x, lx = encode(rows.key.tolist())
-        far, home, asked = rows.far.to_numpy(), rows.home.to_numpy(), rows["query"].to_numpy()
-        keys = rows.key.to_numpy()
-        out = []
-        # residents and guests are ordered by their distance from the pivot; a partner
-        # stands within the band of the radius around it
-        lo, hi = np.searchsorted(far, far - radius, "left"), np.searchsorted(far, far + radius, "right")
-        residents = np.flatnonzero(home)
-        size = (hi - lo)[residents]
-        at = 0
-        while at < len(residents):
-            end = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), 32 * PAIRS, "right")))
-            chosen, n_ = residents[at:end], size[at:end]
-            left = np.repeat(chosen, n_)
-            right = np.arange(len(left)) - np.repeat(np.cumsum(n_) - n_, n_) + np.repeat(lo[chosen], n_)
-            ok = (np.abs(lx[left] - lx[right]) <= radius) & (asked[left] | asked[right]) & (~home[right] | (left < right))
-            left, right = left[ok], right[ok]
+        words = cell_rows.key.tolist()
+        x, lx = encode(words)
+        bits, keys = letters(words), cell_rows.key.to_numpy()
+        far, home, asked = cell_rows.far.to_numpy(np.int16), cell_rows.home.to_numpy(), cell_rows["query"].to_numpy()
+        residents, out = np.flatnonzero(home), []
+        step = max(1, MATRIX // max(1, len(words)))
+        for lo in range(0, len(residents), step):
+            some = residents[lo : lo + step]
+            ok = np.bitwise_count(bits[some, None] ^ bits[None, :]) <= 2 * radius
+            ok &= np.abs(lx[some, None] - lx[None, :]) <= radius
+            ok &= np.abs(far[some, None] - far[None, :]) <= radius
+            ok &= asked[some, None] | asked[None, :]
+            left, right = np.nonzero(ok)
+            left = some[left]
+            once = ~home[right] | (left < right)
+            left, right = left[once], right[once]
             d = distances(x[left], lx[left], x[right], lx[right])
             hit = d <= radius
             out.append(pd.DataFrame({"a": keys[left[hit]], "b": keys[right[hit]], "distance": d[hit].astype(np.int32)}))
-            at = end
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "distance": []})
 
     found = kept.groupBy("cell").applyInPandas(join, "a string, b string, distance int")
