@@ -38,7 +38,7 @@ TEX_LETTERS = {"o": "o", "O": "O", "l": "l", "L": "L", "aa": "aa", "AA": "AA", "
 #: Phrases that name an edition of the same work.
 EDITIONS = re.compile(r"[\s,:.\-–—(\[]*(?:short paper|full paper|full version|extended abstract|extended version|preliminary version|revised version|or:? why less is enough)[\s)\].]*$", re.I)
 #: Abbreviations of terms.
-SHORT_TERMS = {"learningwitherrors": "lwe", "zeroknowledge": "zk", "multipartycomputation": "mpc", "identitybased": "idbased", "encryption": "enc", "authentication": "auth", "signatures": "sigs"}
+SHORT_TERMS = {"signatureschemes": "signatures", "learningwitherrors": "lwe", "zeroknowledge": "zk", "multipartycomputation": "mpc", "identitybased": "idbased", "encryption": "enc", "authentication": "auth", "signatures": "sigs"}
 GREEK = {unicodedata.name(chr(c)).split()[-1] for c in range(0x3B1, 0x3CA)}
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
 _CLEAN = str.maketrans({**ALIKE, **{chr(c): None for c in INVISIBLE}})
@@ -102,14 +102,15 @@ def year_of(value: object) -> int:
 
 
 def people(names: list[str]) -> list[tuple[str, str, str]]:
-    """(surname, given initial, what the surname is if the name stands the other way
-    round: '' where its form settles that) of each name."""
+    """(surname, given initial, what else the surname may be) of each name: the first word
+    of two, if they stand the other way round; the last of more; '' where the form of the
+    name settles it."""
     out = []
     for name in names:
         p = parse(plain_tex(name))
         if p["shape"] == "full":
             surname = p["surname"] or "".join(p["words"][1:])
-            out.append((surname, p["head"][:1], p["head"] if not p["fixed"] else ""))
+            out.append((surname, p["head"][:1], ("" if p["fixed"] else p["words"][-1] if len(p["words"]) > 2 else p["head"])))
         elif p["surname"]:
             out.append((p["surname"], p["head"][:1], ""))
     return out
@@ -187,7 +188,7 @@ def same_person(a: tuple[str, str, str], b: tuple[str, str, str]) -> bool:
     stand the other way round."""
     if a[0] == b[0] or (min(len(a[0]), len(b[0])) > 3 and (_slip(a[0], b[0]) or _two_slips(a[0], b[0]))):
         return not a[1] or not b[1] or a[1] == b[1] or a[0] == b[0] and len(a[0]) > 3
-    turned = lambda x, y: len(x[2]) > 3 and _slip(x[2], y[0]) and (not y[1] or x[0][:1] == y[1])
+    turned = lambda x, y: len(x[2]) > 3 and _slip(x[2], y[0]) and (not y[1] or y[1] in (x[0][:1], x[1]))
     return turned(a, b) or turned(b, a)
 
 
@@ -213,7 +214,7 @@ def year_level(a: int, b: int) -> int:
 
 _PERSON = T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("surname", "initial", "other")]))
 _WORDS = T.ArrayType(T.StringType())
-_FEATURES = T.StructType([T.StructField("rec", T.StringType()), T.StructField("words", _WORDS), T.StructField("rest", _WORDS), T.StructField("part", T.IntegerType()), T.StructField("wide", _WORDS), T.StructField("persons", _PERSON), T.StructField("year", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+_FEATURES = T.StructType([T.StructField("rec", T.StringType()), T.StructField("words", _WORDS), T.StructField("rest", _WORDS), T.StructField("part", T.IntegerType()), T.StructField("wide", _WORDS), T.StructField("persons", _PERSON), T.StructField("year", T.IntegerType()), T.StructField("whole", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
 def features(records: DataFrame, key: str, title: str, authors: str, year: str, paper: bool) -> DataFrame:
@@ -233,7 +234,7 @@ def features(records: DataFrame, key: str, title: str, authors: str, year: str,
             for rec, title_, names, year_ in zip(rows["rec"], rows["title"], packed, rows["year"]):
                 title4 = title_words(title_)
                 persons, y = people(names), year_of(year_)
-                out.append((rec, *title4, [dict(zip(("surname", "initial", "other"), p)) for p in persons], y, sorted(blocking_keys(title4, persons, y, paper))))
+                out.append((rec, *title4, [dict(zip(("surname", "initial", "other"), p)) for p in persons], y, xxhash.xxh3_64_intdigest(f"{compact(title4[0])}|{title4[2]}") - (1 << 63) if title4[0] else None, sorted(blocking_keys(title4, persons, y, paper))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow)], schema=pa.schema(list(zip(_FEATURES.names, arrow))))
 
@@ -243,11 +244,25 @@ def features(records: DataFrame, key: str, title: str, authors: str, year: str,
     return source.mapInArrow(run, _FEATURES)
 
 
+def distinct_features(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One record of each that differ in nothing compared, the one with the smallest key;
+    and (rec, same) for all: the record that stands for it.  Copies behave alike, so only
+    their representatives meet."""
+    content = [c for c in records.columns if c not in ("rec", "keys", "whole")]
+    marked = records.withColumn("_content", F.sha2(F.to_json(F.struct(*content)), 256))
+    first = marked.groupBy("_content").agg(F.min("rec").alias("same"))
+    members = marked.select("rec", "_content").join(first, "_content").select("rec", "same")
+    return records.join(first.select(F.col("same").alias("rec")), "rec", "left_semi"), members
+
+
 def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of records that share a key of some pass."""
+    """Pairs of records that share a key of some pass.  A record of ``b`` without authors
+    and year meets the one record of ``a`` that has its title, if there is only one."""
+    sole = a.filter(F.col("whole").isNotNull()).groupBy("whole").agg(F.count("*").alias("n"), F.min("rec").alias("rec_a")).filter("n = 1")
+    bare = b.filter((F.size("persons") == 0) & (F.col("year") == 0)).select("whole", F.col("rec").alias("rec_b")).join(sole, "whole").select("rec_a", "rec_b")
     x = a.select(F.col("rec").alias("rec_a"), F.explode("keys").alias("key"))
     y = b.select(F.col("rec").alias("rec_b"), F.explode("keys").alias("key"))
-    return x.join(y, "key").select("rec_a", "rec_b").distinct()
+    return x.join(y, "key").select("rec_a", "rec_b").union(bare).distinct()
 
 
 def compared(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -329,19 +344,24 @@ def link_works(papers: DataFrame, entries: DataFrame, confident: float = CONFIDE
     smallest id.  Records without a title match nothing; missing authors or years are a
     level of their own, and weigh what the data show them to weigh.  A match needs the
     confidence given, and a title or authors beyond chance: another part of a series and
-    another title are no match, nor is the same title by other people.  Null and
+    another title are no match, nor is the same title by other people.  Papers that differ
+    in nothing compared tie, so the smallest id wins; entries that differ in nothing
+    compared get the same paper; neither kind of copy is expanded into pairs.  Null and
     repeated keys: rows with a null key are left out, full duplicates count once.  Empty
     tables give no rows.  Other columns are not read.
     """
     spark = papers.sparkSession
     a = written(features(papers, "id", "title", "authors", "year", True), "papers")
     b = written(features(entries, "key", "title", "author", "year", False), "entries")
+    all_a, all_b = a, b
+    a, b = written(distinct_features(a)[0], "papers"), written(distinct_features(b)[0], "entries")
+    members = distinct_features(all_b)[1]
     levels = written(compared(a, b, candidates(a, b)), "levels")
     names = list(LEVELS)
     counted = levels.groupBy(*names).count().collect()  # at most one row per vector of levels
     inside = sum(r["count"] for r in counted)
     # the pairs outside the blocks are non-matches by far; they enter as counts
-    outside = pairs_outside(a, b, inside)
+    outside = pairs_outside(all_a, all_b, inside)
     vectors = np.array([[r[n] for n in names] for r in counted] + [v for v, _ in outside], np.int64).reshape(len(counted) + len(outside), len(names))
     posterior = expectation_maximisation(vectors, np.array([*(float(r["count"]) for r in counted), *(n for _, n in outside)]), tuple(LEVELS.values()))[: len(counted)]
     vectors = vectors[: len(counted)]
@@ -350,4 +370,5 @@ def link_works(papers: DataFrame, entries: DataFrame, confident: float = CONFIDE
     judged = levels.join(F.broadcast(table), names)
     matched = judged.filter((F.col("confidence") >= confident) & (F.col("title") > 0) & (F.col("authors") > 0))
     best = matched.groupBy("rec_b").agg(F.min_by(F.struct("rec_a", "confidence"), F.struct(-F.col("confidence"), F.col("gap"), F.col("rec_a"))).alias("x"))
-    return best.select(F.col("x.rec_a").alias("paper_id"), F.col("rec_b").alias("bib_key"), F.col("x.confidence").alias("confidence"))
+    copies = best.join(members, best["rec_b"] == members["same"])
+    return copies.select(F.col("x.rec_a").alias("paper_id"), F.col("rec").alias("bib_key"), F.col("x.confidence").alias("confidence"))

@@ -81,3 +81,16 @@ def test_links(spark):
     assert len(rows) == len(got) and all(0.9 <= r.confidence <= 1 for r in rows)
     assert len(got & truth) >= 0.97 * len(truth) and len(got - truth) <= 0.02 * len(got)
     assert link_works(p.limit(0), e).count() == 0 and link_works(p, e.limit(0)).count() == 0
+
+
+def test_copies_do_not_multiply(spark):
+    papers = [(f"2020/{i:03d}", "Keyed Lattice Proofs for Masked Voting", "Ana Dorn", 2020) for i in range(300)]
+    more, entries, _ = works(60)
+    papers += [("1999/" + p[0][5:], *p[1:4]) for p in more]
+    rows = [(f"C{i}", "Keyed Lattice Proofs for Masked Voting", "Dorn, Ana", "2020") for i in range(300)] + [e[:4] for e in entries]
+    p = spark.createDataFrame(papers, "id string, title string, authors string, year int")
+    e = spark.createDataFrame(rows, "key string, title string, author string, year string")
+    features_ = linkage.features(p, "id", "title", "authors", "year", True)
+    assert linkage.distinct_features(features_)[0].count() == 61
+    got = {r.bib_key: r.paper_id for r in link_works(p, e).collect() if r.bib_key.startswith("C")}
+    assert got == {f"C{i}": "2020/000" for i in range(300)}
