@@ -29,7 +29,7 @@ from lectern.functions.names import ascii_fold_text
 from lectern.llm.characters import ALIKE, INVISIBLE
 from lectern.llm.variants import _slip, parse
 from lectern.operators.multivalue import split_column
-from lectern.session import written
+from lectern.session import spread, written
 
 #: Least confidence of a match.
 CONFIDENT = 0.9
@@ -241,7 +241,7 @@ def features(records: DataFrame, key: str, title: str, authors: str, year: str,
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(_FEATURES).types
-    return source.mapInArrow(run, _FEATURES)
+    return spread(source, "rec").mapInArrow(run, _FEATURES)
 
 
 def distinct_features(records: DataFrame) -> tuple[DataFrame, DataFrame]:

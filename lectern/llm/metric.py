@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import written
+from lectern.session import spread, written
 
 #: Residents a cell should have on average; sets the number of pivots.
 CELL = 192
@@ -124,7 +124,7 @@ def radius_pairs(strings: DataFrame, radius: int, seed: int = 7, cell: int = CEL
                 i, k = np.nonzero(stays | visits & (d <= near[:, None] + 2 * radius))
                 yield pd.DataFrame({"key": part.key.to_numpy()[i], "query": part["query"].to_numpy()[i], "cell": k.astype(np.int32), "far": d[i, k].astype(np.int32), "home": k == home[i]})
 
-    placed = written(base.repartition(max(spark.sparkContext.defaultParallelism * 2, 1), "key").mapInPandas(assign, "key string, query boolean, cell int, far int, home boolean"), "cells")
+    placed = written(spread(base, "key").mapInPandas(assign, "key string, query boolean, cell int, far int, home boolean"), "cells")
     reach = placed.filter("home").groupBy("cell").agg(F.max("far").alias("reach"))
     kept = placed.join(F.broadcast(reach) if wanted <= max_pivots else reach, "cell").filter(F.col("home") | (F.col("far") <= F.col("reach") + radius)).drop("reach")
 
