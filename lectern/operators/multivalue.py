@@ -61,6 +61,9 @@ def _classify(text: str) -> int:
     words = text.lower().split()
     if len(words) == 1:
         return SUFFIX if words[0] in SUFFIXES else LONE
+    written = text.split()
+    if written[-1][:1].isupper() and all(w[:1].islower() for w in written[:-1]):
+        return SURNAME  # particles, be they misspelt
     if words[0] in PARTICLES:
         bare = sum(w not in PARTICLES for w in words)
         return SURNAME if bare < 2 else FULL

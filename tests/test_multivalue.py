@@ -17,6 +17,9 @@ CASES = {
     "Ana Dorn, III; Bo Fox, Jr.": ["Ana Dorn, III", "Bo Fox, Jr."],
     "van Dorn, Ana-Li P.": ["van Dorn, Ana-Li P."],
     "Ana Dorn, Bo Fox": ["Ana Dorn", "Bo Fox"],
+    "de ls Dorn, Ana T.": ["de ls Dorn, Ana T."],
+    "vam Dorn, A., Fox, B.": ["vam Dorn, A.", "Fox, B."],
+    "ana dorn, bo fox": ["ana dorn", "bo fox"],
     "van Dorn Ana, Bo Fox": ["van Dorn Ana", "Bo Fox"],
     "Dorn, A., Fox, B., & Gray, C.": ["Dorn, A.", "Fox, B.", "Gray, C."],
     "Dorn, A., Fox, B. C., and Gray, C.-D.": ["Dorn, A.", "Fox, B. C.", "Gray, C.-D."],
