@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +53,20 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     return df.repartition(n, *columns)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers of a session that was started
+    without it on their path: as a zip file handed out by Spark, once per application."""
+    root = Path(__file__).resolve().parent.parent
+    on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in [*on_path, Path.cwd()] or spark.conf.get("lectern.shipped", None):
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for path in sorted((root / "lectern").rglob("*.py")):
+            archive.write(path, path.relative_to(root))
+    target = Path(tempfile.mkdtemp(prefix="lectern-")) / "lectern.zip"  # on the driver; Spark sends it on
+    target.write_bytes(packed.getvalue())
+    spark.sparkContext.addPyFile(str(target))
+    spark.conf.set("lectern.shipped", "yes")
