@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.names import fold_text
+from lectern.functions.names import ascii_fold_text, fold_text
 from lectern.llm.characters import ALIKE, INVISIBLE
 from lectern.llm.metric import radius_pairs
 from lectern.session import checkpoint, written
@@ -41,6 +41,8 @@ NICKNAMES = {
     "zack": "zachary", "zhenya": "yevgeni", "jim": "james", "jack": "john", "kate": "katherine", "dave": "david", "pete": "peter", "phil": "philip", "sue": "susan", "dick": "richard",
     "misha": "mikhail", "kolya": "nikolai", "volodya": "vladimir", "lola": "dolores", "pancho": "francisco", "chema": "jose", "gosia": "malgorzata", "kasia": "katarzyna", "hans": "johannes", "sepp": "josef",
 }
+#: The same, folded as names are.
+SHORT_FORMS = {fold_text(k): " ".join(map(fold_text, v.split())) for k, v in NICKNAMES.items()}
 #: Particles of surnames.
 PARTICLES = {"van", "von", "de", "del", "della", "der", "den", "di", "da", "dos", "du", "la", "le", "ter", "ten", "zu", "af", "av", "al", "el", "bin", "ibn"}
 #: Suffixes that are no part of the compared name.
@@ -67,8 +69,8 @@ def _initials(token: str, shout: bool) -> str | None:
     return None
 
 
-def parse(name: str | None) -> dict:
-    """What a spelling consists of.  ``shape``: org, full (given and surname as words, the
+def parse(name: str | None, fold=fold_text) -> dict:
+    """What a spelling consists of, its words reduced by ``fold``.  ``shape``: org, full (given and surname as words, the
     order still open unless ``fixed``), initial (given names as initials) or none."""
     out = {"shape": "none", "fixed": False, "head": "", "tail": "", "words": [], "middle": "", "surname": "", "particle": ""}
     text = (name or "").translate(_CLEAN)
@@ -78,7 +80,7 @@ def parse(name: str | None) -> dict:
     if not parts:
         return out
     tokens = [t for p in parts for t in p.split()]
-    folded = [fold_text(t).replace(" ", "") for t in tokens]
+    folded = [fold(t).replace(" ", "") for t in tokens]
     kinds = [k for k in map(_kind, folded) if k]
     if kinds and len(parts) == 1 and len(tokens) > 1:
         place = "".join(w for w in folded if w not in ("the", "of", "and", "for") and not _kind(w))
@@ -98,7 +100,7 @@ def parse(name: str | None) -> dict:
         while len(given) > 1 and fold_text(given[-1]) in SUFFIXES:
             given = given[:-1]
     marks = [_initials(t, shout) for t in given]
-    clean = lambda ts: [w for w in (fold_text(t).replace(" ", "") for t in ts) if w]
+    clean = lambda ts: [w for w in (fold(t).replace(" ", "") for t in ts) if w]
     if fixed:
         words = [t for t, m in zip(given, marks) if not m]
         surname = "".join(clean(family))
@@ -133,7 +135,7 @@ def parse(name: str | None) -> dict:
     return out | {"shape": "full", "head": words[0], "tail": words[-1], "words": words, "middle": middle}
 
 
-_PARSED = "name_id long, shape string, fixed boolean, head string, tail string, words array<string>, middle string, surname string, particle string"
+_PARSED = "name_id long, shape string, fixed boolean, head string, tail string, words array<string>, middle string, surname string, particle string, raw array<string>"
 
 
 def _particles(name: str | None) -> str:
@@ -142,9 +144,16 @@ def _particles(name: str | None) -> str:
     return "".join(w for w in words if w in PARTICLES)
 
 
+def _raw(name: str | None) -> list[str]:
+    """The words without the digraphs collapsed, a surname whose place is known last: a
+    slip may fall on one of two letters that would collapse."""
+    p = parse(name, ascii_fold_text)
+    return p["words"] + [p["surname"]] if p["fixed"] and p["shape"] == "full" else p["words"]
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
-        out = pd.DataFrame([parse(n) | {"particle": _particles(n)} for n in rows.name])
+        out = pd.DataFrame([parse(n) | {"particle": _particles(n), "raw": _raw(n)} for n in rows.name])
         out.insert(0, "name_id", rows.name_id.to_numpy())
         if len(rows):
             yield out
@@ -164,6 +173,11 @@ def _slip(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k:] if len(a) > len(b) else a[k:] == b[k + 1 :]
 
 
+@F.pandas_udf(T.BooleanType())
+def any_slip(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([any(_slip(x, y) for x in xs for y in ys) for xs, ys in zip(a, b)], dtype=bool)
+
+
 @F.pandas_udf(T.BooleanType())
 def one_slip(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_slip(x, y) for x, y in zip(a, b)], dtype=bool)
@@ -184,12 +198,13 @@ def _canonical_forms(names: DataFrame) -> DataFrame:
         "name_id", "shape",
         F.when(turned, F.col("tail")).otherwise(F.col("head")).alias("given"), "middle",
         F.when(turned, F.array_join(F.slice(rest, 1, F.size(rest) - 1), "")).otherwise(F.array_join(F.slice(rest, 2, F.size(rest)), "")).alias("surname"), "particle",
+        F.when(turned, F.concat(F.element_at("raw", -1), F.array_join(F.slice("raw", 1, F.size("raw") - 1), ""))).otherwise(F.array_join("raw", "")).alias("raw"),
     )
-    fixed = parsed.filter((F.col("shape") != "full") | F.col("fixed")).select("name_id", "shape", F.when(F.col("shape") == "full", F.array_join("words", "")).otherwise(F.col("head")).alias("given"), "middle", "surname", "particle", F.array_join("words", "").alias("_words"))
+    fixed = parsed.filter((F.col("shape") != "full") | F.col("fixed")).select("name_id", "shape", F.when(F.col("shape") == "full", F.array_join("words", "")).otherwise(F.col("head")).alias("given"), "middle", "surname", "particle", F.array_join("raw", "").alias("raw"), F.array_join("words", "").alias("_words"))
     both = settled.withColumn("_words", F.lit("")).unionByName(fixed)
     key = F.when(F.col("shape") == "org", F.col("_words")).when(F.col("shape") == "full", F.concat("given", "surname")).when(F.col("shape") == "initial", F.concat("given", F.lit(" "), "surname"))
     bare = F.when((F.col("particle") != "") & F.startswith("surname", "particle"), F.substring(F.col("surname"), F.length("particle") + 1, F.length("surname"))).otherwise(F.col("surname"))
-    return both.select("name_id", "shape", "given", "middle", "surname", key.alias("key"), bare.alias("bare"))
+    return both.select("name_id", "shape", "given", "middle", "surname", key.alias("key"), bare.alias("bare"), "raw")
 
 
 def _groups(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -225,13 +240,14 @@ def name_groups(names: DataFrame, aliases: DataFrame | None = None, radius: int
     people = forms.filter(F.col("shape").isin("full", "org"))
     # a form is a key; its parts are those of most of its spellings
     keys = people.groupBy("key", "shape", "given", "surname", "bare").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by(F.struct("shape", "given", "surname", "bare"), F.struct("n", "given", "surname", "bare")).alias("x"), F.sum("n").alias("n")).select("key", "x.*", "n")
-    keys = written(keys, "keys")
+    raws = people.groupBy("key").agg(F.collect_set("raw").alias("raws"))  # few: what folds alike
+    keys = written(keys.join(raws, "key"), "keys")
     persons = keys.filter(F.col("shape") == "full")
     given = persons.groupBy("given").agg(F.count("*").alias("spread"))
     family = persons.groupBy("surname").agg(F.count_distinct("given").alias("members"))
     near = radius_pairs(keys.select("key"), radius)
     parts = keys.join(given, "given", "left").join(family, "surname", "left")
-    side = lambda s: parts.select(*[F.col(c).alias(c + s) for c in ("key", "shape", "given", "surname", "spread", "members")])
+    side = lambda s: parts.select(*[F.col(c).alias(c + s) for c in ("key", "shape", "given", "surname", "spread", "members", "raws")])
     pairs = near.join(side("_a"), F.col("a") == F.col("key_a")).join(side("_b"), F.col("b") == F.col("key_b"))
     least, most = F.least("spread_a", "spread_b"), F.greatest("spread_a", "spread_b")
     # two given names in use, not a slip in one: both are frequent, or they differ in their ending alone
@@ -239,13 +255,15 @@ def name_groups(names: DataFrame, aliases: DataFrame | None = None, radius: int
     ending = F.substring(F.col("given_a"), F.lit(1), stem) == F.substring(F.col("given_b"), F.lit(1), stem)
     two_givens = (F.col("given_a") != F.col("given_b")) & (F.col("surname_a") == F.col("surname_b")) & (((least >= 5) & (least >= 0.1 * most)) | (ending & (least >= 0.1 * most)))
     two_families = (F.col("surname_a") != F.col("surname_b")) & (F.least("members_a", "members_b") >= 2)
-    same = pairs.filter(one_slip("a", "b") & (F.col("shape_a") == F.col("shape_b")) & ~F.coalesce(two_givens, F.lit(False)) & ~F.coalesce(two_families, F.lit(False)) | (F.col("shape_a") != F.col("shape_b")) & (F.col("distance") <= 1))
+    same = pairs.filter((one_slip("a", "b") | any_slip("raws_a", "raws_b")) & ((F.col("shape_a") != F.col("shape_b")) | ~F.coalesce(two_givens, F.lit(False)) & ~F.coalesce(two_families, F.lit(False))))
     edges = same.select("a", "b")
 
-    table = F.create_map(*[F.lit(x) for k, v in NICKNAMES.items() for x in (k, v)])
+    table = F.create_map(*[F.lit(x) for k, v in SHORT_FORMS.items() for x in (k, v)])
     called = persons.withColumn("_full", F.try_element_at(table, F.col("given"))).filter(F.col("_full").isNotNull())
     meant = called.select("key", "surname", F.posexplode(F.split("_full", " ")).alias("rank", "name")).select("key", "rank", F.concat("name", "surname").alias("other"))
-    known = meant.join(keys.select(F.col("key").alias("other")), "other").groupBy("key").agg(F.min_by("other", "rank").alias("other"))
+    # the first meaning that somebody has; without any the first, so that short forms meet
+    there = meant.join(keys.select(F.col("key").alias("other"), F.lit(0).alias("absent")), "other", "left")
+    known = there.groupBy("key").agg(F.min_by("other", F.struct(F.coalesce("absent", F.lit(1)), "rank")).alias("other"))
     edges = edges.union(known.select(F.col("key").alias("a"), F.col("other").alias("b")))
 
     # a surname printed without its particles
