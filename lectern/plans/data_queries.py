@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import cdc, multivalue
 from lectern.plans.tables import table
-from lectern.session import shared_folder
+from lectern.session import own_folder
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,7 +18,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_state(spark: SparkSession, d: str) -> DataFrame:
     """The rebuilt table, published and read back."""
-    folder = f"{shared_folder(spark)}/papers-{uuid.uuid4().hex}"
+    folder = f"{own_folder(spark)}/papers-{uuid.uuid4().hex}"
     cdc.publish(cdc.apply_feed(table(spark, d, "papers"), table(spark, d, "cdc_records")), folder)
     return cdc.current(spark, folder).select("id", "title", "authors", "abstract", "category", "rights", "url", "date", "year")
 

@@ -114,3 +114,17 @@ def test_library_and_json(spark, tmp_path):
         files.replace_all(row.limit(0), str(tmp_path / "out"))
     files.replace_all(row, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_shared_folder(spark):
+    from pathlib import Path
+
+    from lectern import session
+
+    df = spark.range(3)
+    assert sorted(r.id for r in session.written(df, "three").collect()) == [0, 1, 2] and session.checkpoint(df).count() == 3
+    folder = Path(session.own_folder(spark).removeprefix("file://"))
+    assert any(p.name.startswith("three-") for p in folder.iterdir())
+    session.clear(spark)
+    assert not folder.exists()
+    assert session.spread(df).rdd.getNumPartitions() == 8
