@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 
 from lectern.functions import biblio, dates, names
 from lectern.functions.text import mark_words
-from lectern.operators import byline, feed, link, query, suggest, watch
+from lectern.operators import byline, feed, link, postings, query, suggest, watch
 from lectern.operators.query import Query
 from lectern.plans import sql
 from lectern.plans.tables import table
+from lectern.session import own_folder
 from lectern.sources.files import json_rows
 from lectern.streaming.feed_stream import first_seen, merge_state
 
@@ -73,6 +75,16 @@ def _stemmed(p: DataFrame, wanted: Query) -> DataFrame:
 _add("fts_search", _papers(lambda p: _stemmed(p, Query(terms='"group signatures" OR homomorphic encrypt', limit=query.SEARCH_LIMIT))))
 _add("fts_stemmed", _papers(lambda p: query.matching(query.searchable(p), Query(terms="committing signature", prefix=False)).select("id")))
 _add("fts_highlight", _papers(lambda p: query.highlighted(_stemmed(p, Query(terms='"hash functions" encrypting', limit=query.SEARCH_LIMIT)), Query(terms='"hash functions" encrypting'))))
+
+
+def _indexed(s: SparkSession, d: str) -> DataFrame:
+    path = f"{own_folder(s)}/index-{uuid.uuid4().hex}"
+    analysed = query.searchable(table(s, d, "papers"), stemmed=False)
+    postings.build(analysed, path, buckets=8)
+    return postings.indexed(analysed, s.read.parquet(path), Query(terms="homomorphic OR lattice based", prefix=False), stemmed=False, buckets=8).select("id", "title")
+
+
+_add("fts_indexed", _indexed, f"SELECT id, title FROM {sql.ANALYSED} WHERE {_any(' homomorphic ')} OR ({_any(' lattice ')} AND {_any(' based ')})")
 _add("fts_count", _papers(lambda p: query.count(query.searchable(p, False), Query(terms="encryption", prefix=False, limit=5), stemmed=False)), f"SELECT count(*) AS n FROM {sql.ANALYSED} WHERE {_any(' encryption ')}")
 _add("highlight_words", _papers(lambda p: p.select("id", mark_words("title", ["encryption", "proofs"]).alias("marked"))), "SELECT id, trim(regexp_replace(regexp_replace(' ' || title || ' ', '([^\\p{L}\\p{N}])(encryption|proofs)([^\\p{L}\\p{N}])', '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'gi'), '^ | $', '', 'g')) AS marked FROM papers")
 

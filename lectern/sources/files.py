@@ -68,6 +68,11 @@ def library(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.concat_ws("/", F.format_string("%04d", "p.year"), F.col("p.number").cast("string")).alias("id"), "p.year", "p.number", "name", "size").orderBy(F.desc("year"), F.desc("number"))
 
 
+def library_size(found: DataFrame) -> DataFrame:
+    """One row: how many files a folder holds, and their bytes."""
+    return found.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
 def json_rows(papers: DataFrame) -> DataFrame:
     """``json``: one object per paper with nine keys; authors as a list, the licence as
     stored."""

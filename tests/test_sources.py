@@ -107,6 +107,7 @@ def test_library_and_json(spark, tmp_path):
     for name in ("2020-0012-on-keys.pdf", "2020-0002.pdf", "notes.pdf", "2021-0001.txt"):
         (tmp_path / name).write_bytes(b"%PDF")
     assert [(r.id, r["size"]) for r in files.library(spark, str(tmp_path)).collect()] == [("2020/12", 4), ("2020/2", 4)]
+    assert files.library_size(files.library(spark, str(tmp_path))).first().asDict() == {"files": 2, "bytes": 8}
     row = spark.createDataFrame([("1", "T", "A B; C D", "", "", "2024", 2024, "r", "u")], "id string, title string, authors string, abstract string, category string, date string, year int, rights string, url string")
     out = json.loads(files.json_rows(row).first().json)
     assert out["authors"] == ["A B", "C D"] and out["license"] == "r" and len(out) == 9

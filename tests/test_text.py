@@ -146,3 +146,21 @@ def test_null_columns_match_nothing(spark):
     p = query.searchable(df.withColumns({"date": F.lit(None).cast("string"), "year": F.lit(None).cast("int"), "rights": F.lit(""), "url": F.lit("")}))
     assert found(query.matching(p, Query(terms="a"))) == [] and found(query.matching(p, Query(author="x"))) == []
     assert query.matching(p.limit(0), Query(terms="a NOT b")).count() == 0
+
+
+def test_index_finds_what_the_scan_finds(spark, rows, tmp_path):
+    from lectern.operators import postings
+
+    df = spark.createDataFrame(rows, "id string, title string, authors string, abstract string, category string")
+    p = query.searchable(df).cache()
+    postings.build(p, str(tmp_path / "index"), 16)
+    index = spark.read.parquet(str(tmp_path / "index"))
+    rng = random.Random(4)
+    terms = ["lattices", "knowl", "zero-knowledge proof", "hash OR lattice", "hash NOT proof", "title:signing", "nothing here", '"hash signature"', "^hash", "NEAR(hash proof, 3)"] + [random_expression(rng) for _ in range(8)]
+    for text in terms:
+        for prefix in (True, False):
+            q = Query(terms=text, prefix=prefix)
+            assert found(postings.indexed(p, index, q, buckets=16)) == found(query.matching(p, q)), text
+    assert postings.candidates(index, fts.parse("ha*")) is None and postings.candidates(index, fts.parse("hash OR ha*")) is None
+    assert postings.candidates(index, fts.parse("absent AND hash"), buckets=16).count() == 0
+    postings.build(p.limit(0), str(tmp_path / "none"))
