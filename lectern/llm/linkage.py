@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from lectern.functions.arrowtext import text_chunks
 from lectern.functions.names import ascii_fold_text
 from lectern.llm.characters import ALIKE, INVISIBLE
-from lectern.llm.variants import _slip, parse
+from lectern.llm.variants import _particles, _slip, parse
 from lectern.operators.multivalue import split_column
 from lectern.session import spread, written
 
@@ -108,11 +108,13 @@ def people(names: list[str]) -> list[tuple[str, str, str]]:
     out = []
     for name in names:
         p = parse(plain_tex(name))
+        particle = _particles(plain_tex(name))  # some sources leave them out
+        bare = lambda s, q=particle: s[len(q) :] if q and s.startswith(q) and len(s) > len(q) + 2 else s
         if p["shape"] == "full":
-            surname = p["surname"] or "".join(p["words"][1:])
+            surname = bare(p["surname"] or "".join(p["words"][1:]))
             out.append((surname, p["head"][:1], ("" if p["fixed"] else p["words"][-1] if len(p["words"]) > 2 else p["head"])))
         elif p["surname"]:
-            out.append((p["surname"], p["head"][:1], ""))
+            out.append((bare(p["surname"]), p["head"][:1], ""))
     return out
 
 
