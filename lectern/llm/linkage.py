@@ -3,8 +3,8 @@
 Probabilistic record linkage.  Several blocking passes bring candidate pairs together, each
 by a key that survives one kind of difference: the title without any one word together
 with an author's surname (typing errors, a word more or less, hyphens), the whole title
-with the year and a surname's first letter (a misspelt surname), the whole title and the
-year where no author is given.  A candidate pair becomes a vector of agreement levels of
+with a surname's first letter (a misspelt surname), the whole title where a side has no
+authors.  No key holds the year, which the sources often give differently.  A candidate pair becomes a vector of agreement levels of
 title, authors and year.  Expectation-maximisation over the counts of all vectors estimates
 how often each level occurs among matches and among non-matches; the posterior probability
 of a vector is the confidence of its pairs.
@@ -118,7 +118,7 @@ def people(names: list[str]) -> list[tuple[str, str, str]]:
     return out
 
 
-def blocking_keys(title: tuple[list[str], list[str], int, list[str]], persons: list[tuple[str, str, str]], year: int, paper: bool) -> set[int]:
+def blocking_keys(title: tuple[list[str], list[str], int, list[str]], persons: list[tuple[str, str, str]], paper: bool) -> set[int]:
     """Hashes of the keys of all passes."""
     words, rest, _, wide = title
     if not words:
@@ -131,11 +131,10 @@ def blocking_keys(title: tuple[list[str], list[str], int, list[str]], persons: l
     if len(persons) == 1:  # a lone name may stand the other way round
         surnames |= {h for _, _, h in persons if h}
     keys = {f"s|{t}|{s}" for t in whole | less for s in surnames}
-    if year:
-        keys |= {f"y|{t}|{year}|{s[:1]}" for t in whole for s in surnames}
-        # a side without authors meets all records of the other with that title and year
-        lacking, other = ("p", "e") if paper else ("e", "p")
-        keys |= {f"{other}|{t}|{year}" for t in whole} | ({f"{lacking}|{t}|{year}" for t in whole} if not surnames else set())
+    keys |= {f"i|{t}|{s[:1]}" for t in whole for s in surnames}
+    # a side without authors meets all records of the other with that title
+    lacking, other = ("p", "e") if paper else ("e", "p")
+    keys |= {f"{other}|{t}" for t in whole} | ({f"{lacking}|{t}" for t in whole} if not surnames else set())
     return {xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in keys}
 
 
@@ -236,7 +235,7 @@ def features(records: DataFrame, key: str, title: str, authors: str, year: str,
             for rec, title_, names, year_ in zip(rows["rec"], rows["title"], packed, rows["year"]):
                 title4 = title_words(title_)
                 persons, y = people(names), year_of(year_)
-                out.append((rec, *title4, [dict(zip(("surname", "initial", "other"), p)) for p in persons], y, xxhash.xxh3_64_intdigest(f"{compact(title4[0])}|{title4[2]}") - (1 << 63) if title4[0] else None, sorted(blocking_keys(title4, persons, y, paper))))
+                out.append((rec, *title4, [dict(zip(("surname", "initial", "other"), p)) for p in persons], y, xxhash.xxh3_64_intdigest(f"{compact(title4[0])}|{title4[2]}") - (1 << 63) if title4[0] else None, sorted(blocking_keys(title4, persons, paper))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow)], schema=pa.schema(list(zip(_FEATURES.names, arrow))))
 
@@ -258,13 +257,21 @@ def distinct_features(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of records that share a key of some pass.  A record of ``b`` without authors
-    and year meets the one record of ``a`` that has its title, if there is only one."""
-    sole = a.filter(F.col("whole").isNotNull()).groupBy("whole").agg(F.count("*").alias("n"), F.min("rec").alias("rec_a")).filter("n = 1")
-    bare = b.filter((F.size("persons") == 0) & (F.col("year") == 0)).select("whole", F.col("rec").alias("rec_b")).join(sole, "whole").select("rec_a", "rec_b")
+    """Pairs of records that share a key of some pass."""
     x = a.select(F.col("rec").alias("rec_a"), F.explode("keys").alias("key"))
     y = b.select(F.col("rec").alias("rec_b"), F.explode("keys").alias("key"))
-    return x.join(y, "key").select("rec_a", "rec_b").union(bare).distinct()
+    return x.join(y, "key").select("rec_a", "rec_b").distinct()
+
+
+def without_rivals(a: DataFrame, matched: DataFrame) -> DataFrame:
+    """``matched`` without the pairs that nothing but the title speaks for, no authors to
+    compare and no equal year, if several records have that title: more than one of ``a``,
+    or more than one such pair of the entry at its best level of title."""
+    unsure = (F.col("authors") == LEVELS["authors"] - 1) & (F.col("year") != 2)
+    shared = a.join(a.filter(F.col("whole").isNotNull()).groupBy("whole").count().filter("count > 1"), "whole", "left_semi").select(F.col("rec").alias("rec_a"))
+    titled = matched.filter(unsure)
+    best = titled.groupBy("rec_b", "title").agg(F.count("*").alias("n")).groupBy("rec_b").agg(F.max("title").alias("title"), F.max_by("n", "title").alias("n")).filter("n = 1").drop("n")
+    return matched.filter(~unsure).unionByName(titled.join(shared, "rec_a", "left_anti").join(best, ["rec_b", "title"], "left_semi").select(*matched.columns))
 
 
 def compared(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -346,7 +353,8 @@ def link_works(papers: DataFrame, entries: DataFrame, confident: float = CONFIDE
     smallest id.  Records without a title match nothing; missing authors or years are a
     level of their own, and weigh what the data show them to weigh.  A match needs the
     confidence given, and a title or authors beyond chance: another part of a series and
-    another title are no match, nor is the same title by other people.  Papers that differ
+    another title are no match, nor is the same title by other people.  Where a side has no
+    authors and the years are not equal, the title must belong to one paper only.  Papers that differ
     in nothing compared tie, so the smallest id wins; entries that differ in nothing
     compared get the same paper; neither kind of copy is expanded into pairs.  Null and
     repeated keys: rows with a null key are left out, full duplicates count once.  Empty
@@ -371,6 +379,6 @@ def link_works(papers: DataFrame, entries: DataFrame, confident: float = CONFIDE
     table = spark.createDataFrame(rows, T.StructType([*[T.StructField(n, T.IntegerType()) for n in names], T.StructField("confidence", T.DoubleType())]))
     judged = levels.join(F.broadcast(table), names)
     matched = judged.filter((F.col("confidence") >= confident) & (F.col("title") > 0) & (F.col("authors") > 0))
-    best = matched.groupBy("rec_b").agg(F.min_by(F.struct("rec_a", "confidence"), F.struct(-F.col("confidence"), F.col("gap"), F.col("rec_a"))).alias("x"))
+    best = without_rivals(a, matched).groupBy("rec_b").agg(F.min_by(F.struct("rec_a", "confidence"), F.struct(-F.col("confidence"), F.col("gap"), F.col("rec_a"))).alias("x"))
     copies = best.join(members, best["rec_b"] == members["same"])
     return copies.select(F.col("x.rec_a").alias("paper_id"), F.col("rec").alias("bib_key"), F.col("x.confidence").alias("confidence"))

@@ -94,3 +94,24 @@ def test_copies_do_not_multiply(spark):
     assert linkage.distinct_features(features_)[0].count() == 61
     got = {r.bib_key: r.paper_id for r in link_works(p, e).collect() if r.bib_key.startswith("C")}
     assert got == {f"C{i}": "2020/000" for i in range(300)}
+
+
+def test_other_years(spark):
+    papers, entries, _ = works()
+    papers, entries = [p[:4] for p in papers], [e[:4] for e in entries]
+    want = {}
+    for k in range(12):  # titles that only one paper has
+        title, surname = " ".join(f"{'bcdfghklmnpr'[k]}{x}{'zvtsrqpnmlkj'[k]}ok" for x in ("ara", "omi", "enu", "il")), "Plomvart Quistel Rendovak Stiglitzer".split()[k % 4]
+        slip = surname[:3] + surname[4:]
+        lacking = k % 3
+        papers.append((f"1990/{k}", title, "" if lacking == 1 else f"Ana {surname}", 1990))
+        author = [None, f"{surname}, Ana", f"{slip}, Ana"][lacking]
+        entries.append((f"Q{k}", title, author, ["1991", "1995", None, "1990"][k % 4]))
+        want[f"Q{k}"] = f"1990/{k}"
+    # nothing tells which of two papers is meant, unless the year does
+    papers += [("1991/1", "Greblin Hashing on Wide Trees", "Bo Fox", 1991), ("1991/2", "Greblin Hashing on Wide Trees", "Di Hill", 1996)]
+    entries += [("R1", "Greblin Hashing on Wide Trees", "", "2001"), ("R2", "Greblin Hashing on Wide Trees", None, "1996"), ("R3", "Greblin Hashing on Wide Trees", "Zorn, Zed", "2001")]
+    p = spark.createDataFrame(papers, "id string, title string, authors string, year int")
+    e = spark.createDataFrame(entries, "key string, title string, author string, year string")
+    got = {r.bib_key: r.paper_id for r in link_works(p, e).collect() if r.bib_key[0] in "QR"}
+    assert got == want | {"R2": "1991/2"}
