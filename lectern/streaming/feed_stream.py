@@ -10,15 +10,29 @@ from lectern.operators import cdc
 
 #: Columns of the state table: the winner of each id, tombstones included.
 STATE = ("id", "op", "changed_at", "seq", "title", "rights", "creators", "descriptions", "subjects", "dates", "identifiers")
+#: A column more: all changes of the winner's instant.
+TIES = "ties"
 
 
 def merge_state(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """The state after a batch: per id the record that is last by time, then sequence.
+    """The state after a batch: per id the change that is last by time, then sequence.
+
+    Records equal in op, time and payload are one change with the smallest sequence of
+    theirs, whatever batch they come in.  A later delivery can lower the sequence of the
+    winner or of a change it beat, so all changes of the newest instant stay in ``ties``.
     Tombstones stay, so a late older record cannot undo a deletion."""
-    records = batch.withColumn("id", cdc.canonical_id("id")).filter(F.col("id").isNotNull()).select(*STATE)
-    every = records if state is None else state.select(*STATE).unionByName(records)
-    rest = [c for c in STATE if c != "id"]
-    return every.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct(F.col("changed_at"), -F.col("seq"))).alias("x")).select("id", "x.*")
+    change = [c for c in STATE if c not in ("id", "changed_at", "seq")]
+    rows = ["id", "changed_at", "seq", *change]
+    every = batch.withColumn("id", cdc.canonical_id("id")).filter(F.col("id").isNotNull()).select(*rows)
+    if state is not None:
+        # a state from before there were ties holds one change of each id
+        old = state.select("id", "changed_at", F.inline(TIES)) if TIES in state.columns else state
+        every = every.unionByName(old.select(*rows))
+    content = F.md5(F.to_json(F.struct(*[F.col(c) for c in change if c != "op"])))
+    changes = every.groupBy("id", "changed_at", "op", content.alias("content")).agg(F.min("seq").alias("seq"), F.any_value(F.struct(*change)).alias("x"))
+    instants = changes.groupBy("id", "changed_at").agg(F.sort_array(F.collect_list(F.struct("seq", "x.*"))).alias(TIES))
+    newest = instants.groupBy("id").agg(F.max_by(F.struct("changed_at", TIES), F.struct("changed_at")).alias("x")).select("id", "x.*")
+    return newest.withColumn("last", F.element_at(TIES, -1)).select("id", "changed_at", TIES, "last.*").select(*STATE, TIES)
 
 
 def first_seen(feed: DataFrame) -> DataFrame:

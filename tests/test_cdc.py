@@ -124,6 +124,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert set(seen) <= {f"a/{k}" for k in range(4)}
 
 
+def test_state_at_equal_times(spark):
+    records = [record(5, "live", "a/1", 1, "old"), record(7, "live", "oai:a/1", 1, "new"), record(9, "live", "a/1", 1, "old"), record(3, "live", "b/1", 2), record(4, "deleted", "b/1", 2), record(6, "live", "b/1", 2), record(8, "live", "c/1", 1, "x"), record(2, "live", "c/1", 1, "y"), record(1, "live", "c/1", 1, "x"), record(10, "deleted", "d/1", 4), record(11, "live", "d/1", 3), record(12, "live", "e/1", None)]
+    want = {"a/1": ("live", 7, "new"), "b/1": ("deleted", 4, None), "c/1": ("live", 2, "y"), "d/1": ("deleted", 10, None), "e/1": ("live", 12, "t")}
+    assert {k: v[:2] for k, v in want.items()} == {k: v for k, v in expected([], [r for r in records if r[3]]).items()} | {"e/1": ("live", 12)}
+    get = lambda d: {r.id: (r.op, r.seq, r.title) for r in d.collect()}
+    assert get(feed_stream.merge_state(None, spark.createDataFrame(records, FEED))) == want
+    # batch by batch, in any order
+    for seed in range(2):
+        random.Random(seed).shuffle(records)
+        state = None
+        for k in range(0, len(records), 4):
+            state = feed_stream.merge_state(state, spark.createDataFrame(records[k : k + 4], FEED))
+        assert get(state) == want
+
+
 def test_first_seen_restarts_after_deletion(spark):
     df = spark.createDataFrame([record(1, "live", "a/1", 1), record(2, "deleted", "a/1", 2), record(3, "live", "a/1", 3), record(4, "live", "a/1", 4), record(5, "live", "b/1", 1), record(6, "deleted", "b/1", 2)], FEED)
     assert {r.id: r.added for r in feed_stream.first_seen(df).collect()} == {"a/1": T0 + timedelta(hours=3)}
