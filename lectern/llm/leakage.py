@@ -4,20 +4,20 @@ Both sides are reduced to their letters and digits (one case, look-alikes unifie
 accents kept), so spaces, line ends, hyphens and invisible characters cannot hide a
 passage.  A spaced seed is a fixed mask over consecutive symbols that ignores some of
 them: equal hashes under a mask mean equal symbols at the positions that count, whatever
-stands at the others.  Every window of consecutive item words gets one seed per mask, at
-the place whose hash occurs in the fewest items; every position of every document is
-hashed under the same masks and joined with the seeds.  Around a hit the item is laid over
-the document on the hit's diagonal and compared symbol by symbol: the longest run of equal
-words and the best share of equal symbols over a window follow, substitutions tolerated.
-
-A window that occurs in a document in full brings its seed along, so no exact overlap is
-lost.  Windows shorter than a mask are searched for as strings.
+stands at the others.  Every position of every item is a seed under each mask; every
+position of every document is hashed under the same masks and joined with them.  Hits on
+one diagonal are one: the item is laid over the document there and compared symbol by
+symbol: the longest run of equal words and the best share of equal symbols over a window
+follow, substitutions tolerated.  Where a word was replaced by a longer or shorter one,
+what follows it lies on a diagonal nearby; the share counts both sides of one such break.
+
+A window that occurs in a document in full brings its seeds along, so no exact overlap is
+lost, not even with one seed for each window, all that a search for exact overlaps takes.  Windows shorter than a mask are searched for as strings.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +37,10 @@ LEAST_SHARE = 0.8
 #: Characters of item text searched for in one pass; more items take more passes.
 BLOCK_CHARS = 8_000_000
 FILTER_BITS = 22
+#: Most symbols by which a word in another's place may be longer or shorter.
+MAX_BREAK = 16
+#: Hits that are handled at once.
+HITS_AT_ONCE = 1 << 20
 
 
 class Skeleton:
@@ -86,13 +90,12 @@ def seed_hashes(symbols: np.ndarray, mask: str) -> np.ndarray:
 class Items:
     """The seeds of a block of items."""
 
-    def __init__(self, rows: list[tuple[object, str | None]], skeleton: Skeleton, words: int, masks: tuple[str, ...]) -> None:
+    def __init__(self, rows: list[tuple[object, str | None]], skeleton: Skeleton, words: int, masks: tuple[str, ...], exact: bool = False) -> None:
         self.skeleton, self.words, self.masks = skeleton, words, masks
         self.keys: list[object] = []
         self.symbols: list[np.ndarray] = []
         self.word_at: list[np.ndarray] = []  # symbols before each word, and in all
         self.short: list[tuple[bytes, int]] = []
-        hashes: list[list[np.ndarray]] = []
         for key, text in rows:
             parts = [w for w in (text or "").split(" ") if w]
             if len(parts) < words:
@@ -101,47 +104,63 @@ class Items:
             self.keys.append(key)
             self.symbols.append(np.concatenate(arrays))
             self.word_at.append(np.cumsum([0, *map(len, arrays)]))
-            hashes.append([seed_hashes(self.symbols[-1], m) for m in masks])
-        used: defaultdict[tuple[int, int], int] = defaultdict(int)
-        for per_mask in hashes:
-            for m, h in enumerate(per_mask):
-                for x in set(h.tolist()):
-                    used[m, x] += 1
-        self.seeds: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # hash, item, position by mask
-        found: list[set[tuple[int, int, int]]] = [set() for _ in masks]
-        for i, per_mask in enumerate(hashes):
-            at = self.word_at[i]
+            at = self.word_at[-1]
             for w in range(len(at) - words):
                 a, b = int(at[w]), int(at[w + words])
-                for m, mask in enumerate(masks):
-                    if b - a < len(mask):
-                        if b > a and m == 0:
-                            self.short.append((self.symbols[i][a:b].astype("<u4").tobytes(), i))
-                        continue
-                    h = per_mask[m][a : b - len(mask) + 1].tolist()
-                    k = min(range(len(h)), key=lambda k: (used[m, h[k]], h[k]))
-                    found[m].add((h[k], i, a + k))
-        for per_mask in found:
-            rows_ = sorted(per_mask)
-            columns = list(zip(*rows_)) if rows_ else [(), (), ()]
-            self.seeds.append((np.array(columns[0], np.uint64), np.array(columns[1], np.int64), np.array(columns[2], np.int64)))
+                if 0 < b - a < len(masks[0]):
+                    self.short.append((self.symbols[-1][a:b].astype("<u4").tobytes(), len(self.keys) - 1))
+        self.seeds: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # hash, item, position by mask
+        for mask in masks:
+            hashes = [seed_hashes(x, mask) for x in self.symbols]
+            h = np.concatenate([np.zeros(0, np.uint64), *hashes])
+            item = np.repeat(np.arange(len(hashes), dtype=np.int32), [len(x) for x in hashes])
+            position = np.concatenate([np.zeros(0, np.int32), *(np.arange(len(x), dtype=np.int32) for x in hashes)])
+            if exact:  # a window that is equal brings any of its seeds along: the rarest will do
+                kept = self.rarest(hashes, len(mask))
+                h, item, position = h[kept], item[kept], position[kept]
+            order = np.argsort(h, kind="stable")
+            self.seeds.append((h[order], item[order], position[order]))
         self.filters = []
         for h, _, _ in self.seeds:
             bits = np.zeros(1 << FILTER_BITS, bool)
             bits[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
             self.filters.append(bits)
 
-    def hits(self, symbols: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, position in it, position in ``symbols``) of equal seeds."""
+    def rarest(self, hashes: list[np.ndarray], width: int) -> np.ndarray:
+        """Of the joined hashes, those that are the rarest in some window of words."""
+        h = np.concatenate([np.zeros(0, np.uint64), *hashes])
+        _, which, used = np.unique(h, return_inverse=True, return_counts=True)
+        used, kept, first = used[which], np.zeros(len(h), bool), 0
+        for at, own in zip(self.word_at, hashes):
+            for a, b in zip(at[: -self.words].tolist(), at[self.words :].tolist()):
+                if b - a >= width:
+                    lo, hi = first + a, first + b - width + 1
+                    kept[lo + np.lexsort((h[lo:hi], used[lo:hi]))[0]] = True
+            first += len(own)
+        return kept
+
+    def hits(self, symbols: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row, item, shift) of equal seeds; each once for a mask and a part of its hits."""
+
+        def laid(item: np.ndarray, position: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
+            row = np.searchsorted(edges, at, "right") - 1
+            diagonals = np.unique(np.stack([row, item, at - position - edges[row]]), axis=1)
+            yield from zip(*diagonals.tolist())
+
         for mask, (h, item, position), bits in zip(self.masks, self.seeds, self.filters):
             all_ = seed_hashes(symbols, mask)
             at = np.flatnonzero(bits[(all_ >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
             if not len(at) or not len(h):
                 continue
             lo, hi = np.searchsorted(h, all_[at], "left"), np.searchsorted(h, all_[at], "right")
-            for k in np.flatnonzero(hi > lo).tolist():
-                for s in range(lo[k], hi[k]):
-                    yield int(item[s]), int(position[s]), int(at[k])
+            some = hi > lo
+            at, lo, n = at[some], lo[some], (hi - lo)[some]
+            ends = np.cumsum(n)
+            for start in range(0, int(ends[-1]) if len(ends) else 0, HITS_AT_ONCE):
+                k = np.arange(start, min(start + HITS_AT_ONCE, int(ends[-1])))
+                which = np.searchsorted(ends, k, "right")
+                seed = lo[which] + k - (ends[which] - n[which])
+                yield from laid(item[seed].astype(np.int64), position[seed].astype(np.int64), at[which])
         if self.short:
             raw = symbols.astype("<u4").tobytes()
             for needle, i in self.short:
@@ -152,53 +171,69 @@ class Items:
                         p = whole.find(needle)
                         while p >= 0:
                             if p % 4 == 0:
-                                yield i, p // 4, k // 4
+                                yield from laid(np.array([i]), np.array([p // 4]), np.array([k // 4]))
                             p = whole.find(needle, p + 1)
                     k = raw.find(needle, k + 1)
 
-    def overlap(self, item: int, shift: int, text: np.ndarray) -> tuple[int, float]:
-        """With the item laid at ``shift`` over one text: its longest run of words that
-        are equal in full, and the best share of equal symbols over a window."""
-        symbols, at = self.symbols[item], self.word_at[item]
+    def equal(self, item: int, shift: int, text: np.ndarray) -> np.ndarray:
+        """How many symbols are equal before each of the item's, laid at ``shift``."""
+        symbols = self.symbols[item]
         equal = np.zeros(len(symbols) + 1, np.int64)
         a, b = max(0, -shift), min(len(symbols), len(text) - shift)
-        equal[a + 1 : b + 1] = symbols[a:b] == text[a + shift : b + shift]
-        total = np.cumsum(equal)
+        if a < b:
+            equal[a + 1 : b + 1] = symbols[a:b] == text[a + shift : b + shift]
+        return np.cumsum(equal)
+
+    def overlap(self, item: int, shift: int, text: np.ndarray, least_share: float = 1.0) -> tuple[int, float]:
+        """With the item laid at ``shift`` over one text: its longest run of words that
+        are equal in full, and the best share of equal symbols over a window.  A share
+        below ``least_share``, but no less than half of it, is looked at again with the
+        words before or after some word laid up to MAX_BREAK symbols aside."""
+        at = self.word_at[item]
+        total = self.equal(item, shift, text)[at]
         size = np.diff(at)
-        same = total[at[1:]] - total[at[:-1]] == size
+        same = np.diff(total) == size
         run = best = 0
         for x in same.tolist():
             run = run + 1 if x else 0
             best = max(best, run)
         w = self.words
-        length = at[w:] - at[:-w]
-        share = (total[at[w:]] - total[at[:-w]]) / np.maximum(length, 1)
-        return best, float(share.max()) if len(share) else 0.0
+        length = np.maximum(at[w:] - at[:-w], 1)
+        share = float(((total[w:] - total[:-w]) / length).max())
+        # of two sides that reach the share together, one has half of it
+        if least_share / 2 <= share < least_share:
+            aside = [self.equal(item, shift + k, text)[at] for k in range(-MAX_BREAK, MAX_BREAK + 1) if k]
+            for left, right in [(total, x) for x in aside] + [(x, total) for x in aside]:
+                gain = np.lib.stride_tricks.sliding_window_view(left - right, w + 1).max(axis=1)
+                share = max(share, float(((right[w:] - left[:-w] + gain) / length).max()))
+        return best, share
 
-    def search(self, data: bytes, offsets: np.ndarray) -> dict[tuple[int, int], tuple[int, float]]:
+    def search(self, data: bytes, offsets: np.ndarray, least_share: float = 1.0) -> dict[tuple[int, int], tuple[int, float]]:
         """(row, item) -> (equal words, share) for the rows of one chunk."""
         symbols, edges = self.skeleton.of_bytes(data, offsets)
         out: dict[tuple[int, int], tuple[int, float]] = {}
         seen = set()
-        for item, position, at in self.hits(symbols):
-            row = int(np.searchsorted(edges, at, "right")) - 1
-            shift = at - position - int(edges[row])
+        for row, item, shift in self.hits(symbols, edges):
             if (row, item, shift) in seen:
                 continue
             seen.add((row, item, shift))
-            words, share = self.overlap(item, shift, symbols[edges[row] : edges[row + 1]])
+            words, share = self.overlap(item, shift, symbols[edges[row] : edges[row + 1]], least_share)
             old = out.get((row, item), (0, 0.0))
             out[row, item] = max(old[0], words), max(old[1], share)
         return out
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, least_share: float = LEAST_SHARE, masks: tuple[str, ...] = MASKS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, least_share: float = LEAST_SHARE, masks: tuple[str, ...] = MASKS, block_chars: int = BLOCK_CHARS, exact: bool = False) -> DataFrame:
     """One row per item and document whose texts overlap.
 
     Columns: ``item_id``, ``doc_id``, ``equal_words`` (longest run of item words that
     the document holds, letters and digits only) and ``share`` (best share of equal
     symbols over ``words`` consecutive item words).  A pair is reported if
-    ``equal_words`` reaches ``words`` or ``share`` reaches ``least_share``.
+    ``equal_words`` reaches ``words`` or ``share`` reaches ``least_share``.  None with
+    ``words`` equal words is missed; an overlap with substitutions is missed if they leave
+    no position where a mask fits (how often: README), and a window of fewer symbols than
+    a mask is found only where it is equal.  ``exact`` asks for the former only, which
+    takes fewer seeds.
 
     The items are the query set: they go to the workers in blocks of at most
     ``block_chars`` characters, one pass over the documents per block, so their number
@@ -218,13 +253,13 @@ def find_leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, least
         size += len(row.text)
 
     def one(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Items(block, skeleton, words, masks))
+        shared = spark.sparkContext.broadcast(Items(block, skeleton, words, masks, exact))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items_ = shared.value
             for batch in batches:
                 for chunk in text_chunks(batch.column(1)):
-                    found = [(r, i, n, s) for (r, i), (n, s) in items_.search(chunk.data, chunk.offsets).items() if n >= words or s >= least_share]
+                    found = [(r, i, n, s) for (r, i), (n, s) in items_.search(chunk.data, chunk.offsets, 0.0 if exact else least_share).items() if n >= words or not exact and s >= least_share]
                     if found:
                         rows, which, runs, shares = zip(*found)
                         yield pa.RecordBatch.from_arrays([pa.array([items_.keys[i] for i in which], schema_types[0]), batch.column(0).take(pa.array([chunk.lo + r for r in rows], pa.int64())), pa.array(runs, pa.int32()), pa.array(shares, pa.float64())], names=schema.names)

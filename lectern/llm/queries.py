@@ -41,7 +41,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    found = leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    found = leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), exact=True)
     return found.filter(F.col("equal_words") >= leakage.WORDS).select("item_id", "doc_id")
 
 

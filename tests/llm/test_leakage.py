@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from lectern.llm import leakage
 from lectern.llm.leakage import Skeleton, find_leaks
 
@@ -54,6 +56,7 @@ def test_against_brute_force(spark):
     found = find_leaks(docs, its)
     got = {(r.item_id, r.doc_id) for r in found.filter("equal_words >= 8").collect()}
     assert got == brute(documents, items) and len(got) > 20
+    assert {(r.item_id, r.doc_id) for r in find_leaks(docs, its, exact=True).collect()} == got
     # in several blocks the result is the same
     parts = find_leaks(docs, its, block_chars=100)
     assert {(r.item_id, r.doc_id) for r in parts.filter("equal_words >= 8").collect()} == got
@@ -68,6 +71,29 @@ def test_substitutions_are_tolerated(spark):
     assert [(r.item_id, r.doc_id) for r in rows] == [(7, 1)] and rows[0].equal_words < leakage.WORDS and rows[0].share > 0.9
 
 
+def test_recall_of_substitutions():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 7)))
+    found = {0.9: 0, 0.85: 0, 0.8: 0}
+    replaced = 0
+    for _ in range(60):
+        parts = [word() for _ in range(8)]
+        items = leakage.Items([(1, " ".join(parts))], SK, 8, leakage.MASKS)
+        whole = "".join(parts)
+        for share in found:
+            text = list(whole)
+            for k in rng.sample(range(len(text)), int(len(text) * (1 - share) + 1e-9)):
+                text[k] = "0"
+            data = ("xyz " + "".join(text) + " xyz").encode()
+            found[share] += any(s >= 0.8 for _, s in items.search(data, np.array([0, len(data)]), 0.8).values())
+        k = rng.randint(1, 6)
+        data = " ".join([*parts[:k], "0" * rng.choice([2, 3, 9, 12]), *parts[k + 1 :]]).encode()
+        true = 1 - len(parts[k]) / len(whole)
+        replaced += true < 0.8 or any(s >= 0.8 for _, s in items.search(data, np.array([0, len(data)]), 0.8).values())
+    print(found, replaced)
+    assert found[0.9] >= 59 and found[0.85] >= 55 and found[0.8] >= 48 and replaced >= 59
+
+
 def test_skeleton():
     assert plain("Ａ-b­С​ é é 1") == "abce" + "́" + "e" + "́" + "1"
     assert plain("ﬁne I") == "finei" and plain("") == "" and plain("Ω") == "ω"
