@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, characters, leakage, linkage, lookalike, split, variants
+from lectern.operators import multivalue
 from lectern.plans.tables import table
+from lectern.session import written
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,6 +29,15 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return variants.name_groups(table(spark, d, "author_names"), table(spark, d, "aliases"))
 
 
+def p3_bylines(spark: SparkSession, d: str) -> DataFrame:
+    """One row per distinct spelling in bylines or author_names with its group."""
+    listed = table(spark, d, "author_names").select("name")
+    typed = multivalue.split_values(table(spark, d, "papers"), "id", "authors", "rec_key").select("name")
+    names = typed.union(listed).filter(F.col("name").isNotNull()).distinct().withColumn("name_id", F.monotonically_increasing_id())
+    names = written(names, "spellings")
+    return variants.name_groups(names, table(spark, d, "aliases")).join(names, "name_id").select("name", "group")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unusual_fields(table(spark, d, "papers"), "id", ("title", "authors"))
 
@@ -59,7 +70,7 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_links, p3_found, p3_groups, p4_found, p4_canonical, p6_ids, p7_found, p7_overlaps, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_links, p3_found, p3_groups, p3_bylines, p4_found, p4_canonical, p6_ids, p7_found, p7_overlaps, p8_found, p8_pieces)}
 
 
 def _pair(table: dict[str, str]) -> str:

@@ -108,3 +108,14 @@ def test_slips():
     assert variants._slip("abcd", "abdc") and variants._slip("abc", "abcd") and variants._slip("abc", "axc") and not variants._slip("abc", "cba")
     s = pd.Series(["ab", "abc"])
     assert variants.one_slip.func(s, pd.Series(["abc", "xyz"])).tolist() == [True, False]
+
+
+def test_spellings_that_only_bylines_have(spark, tmp_path):
+    from lectern.llm import queries
+
+    spark.createDataFrame([("1", "Zachary Groboan; Mei-Ling Vantrop"), ("2", "Zachary Grboan; Zachary Groboan")], "id string, authors string").write.parquet(f"{tmp_path}/papers.parquet")
+    spark.createDataFrame([(1, "Groboan, Zachary")], "name_id long, name string").write.parquet(f"{tmp_path}/author_names.parquet")
+    spark.createDataFrame([], "representative string, stray string").write.parquet(f"{tmp_path}/aliases.parquet")
+    rows = queries.p3_bylines(spark, str(tmp_path)).collect()
+    group = {r["name"]: r["group"] for r in rows}
+    assert len(rows) == 4 and group["Zachary Groboan"] == group["Zachary Grboan"] == group["Groboan, Zachary"] != group["Mei-Ling Vantrop"]
