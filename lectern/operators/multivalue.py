@@ -178,7 +178,7 @@ def split_column(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, pa.Strin
         if data[at[a[i]] : at[b[i]]].decode("utf-8", "replace").lower() in UNNAMED:
             alive[i] = False
     # "X et al.": the name ends before the words for the others
-    if b" al" in data:
+    if b" al" in data.lower():
         for i in np.flatnonzero(alive).tolist():
             name = data[at[a[i]] : at[b[i]]].decode("utf-8", "replace")
             for tail in (" et al.", " et al"):

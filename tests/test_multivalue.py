@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -67,3 +68,9 @@ def test_rows(spark):
     rows = sorted((r.rec or "", r.pos, r.name) for r in split_values(df, "key", "author", "rec").collect())
     assert rows == [("", 1, "Cy Gray"), ("k", 1, "Ana Dorn"), ("k", 2, "Bo Fox"), ("m", 1, "x" * 5000 + " Long"), ("m", 2, "Di Hill")]
     assert split_values(df.limit(0), "key", "author").count() == 0
+
+
+def test_et_al_in_any_case():
+    data = b"Ana Dorn ET AL."
+    _, names = split_column(data, np.array([0, len(data)]))
+    assert names.to_pylist() == ["Ana Dorn"]
