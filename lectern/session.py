@@ -47,7 +47,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     loss of an executor costs nothing that was written."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+        context.setCheckpointDir(own_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -56,7 +56,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     and filters pushed down, and later stages do not repeat its work."""
     path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`written` returned, once nothing will read them again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:

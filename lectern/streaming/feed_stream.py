@@ -12,6 +12,8 @@ from lectern.operators import cdc
 STATE = ("id", "op", "changed_at", "seq", "title", "rights", "creators", "descriptions", "subjects", "dates", "identifiers")
 #: A column more: all changes of the winner's instant.
 TIES = "ties"
+#: Parts of the state that are rewritten apart from each other.
+BUCKETS = 64
 
 
 def merge_state(state: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -45,18 +47,22 @@ def first_seen(feed: DataFrame) -> DataFrame:
     return alive.groupBy("id").agg(F.min_by("received_at", order).alias("added"))
 
 
-def run_feed(spark: SparkSession, source: str, schema, table: str, checkpoint: str) -> StreamingQuery:
+def run_feed(spark: SparkSession, source: str, schema, table: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Applies the files that appear in ``source`` to the published state in ``table``.
 
-    Each micro-batch writes a whole new version and makes it current by one rename; a
-    batch that is run again after a failure gives the same state, since applying a record
-    twice changes nothing."""
+    Each micro-batch reads and writes the buckets its ids fall into, and makes them
+    current together by one rename; a batch that is run again after a failure gives the
+    same state, since applying a record twice changes nothing.  ``buckets`` must stay
+    what it was when the table was begun."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        session = batch.sparkSession
-        pointer = cdc._path(session, f"{table}/CURRENT")
-        exists = pointer.getFileSystem(session._jsc.hadoopConfiguration()).exists(pointer)
-        cdc.publish(merge_state(cdc.current(session, table) if exists else None, batch), table)
+        session, bucket = batch.sparkSession, cdc.bucket_of("id", buckets).alias(cdc.BUCKET)
+        ids = batch.select(cdc.canonical_id("id").alias("id")).filter("id IS NOT NULL")
+        touched = [r[0] for r in ids.select(bucket).distinct().collect()]  # at most one row per bucket
+        if not touched:
+            return
+        state = cdc.current(session, table, touched) if cdc.published(session, table) else None
+        cdc.publish(merge_state(state, batch).withColumn(cdc.BUCKET, bucket), table, touched)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -104,13 +104,50 @@ def test_apply_and_publish(spark, tmp_path):
     assert set(out) == {"a/1", "a/3", "2021/9"}
     new = out["a/1"]
     assert (new.title, new.authors, new.abstract, new.category, new.date, new.year, new.url, new.added) == ("new", "X Y; Z", "the longest one", "", "2019-05-05", 2019, "https://a/1", T0)
-    assert out["a/3"].title == "old" and out["2021/9"].year == 2021 and out["2021/9"].url == "" and out["2021/9"].added is None
+    assert out["a/3"].title == "old" and out["2021/9"].year == 2021 and out["2021/9"].url == "" and out["2021/9"].added == T0 + timedelta(hours=4)
     folder = f"file://{tmp_path}/t"
     first = cdc.publish(papers, folder)
     assert cdc.current(spark, folder).count() == 3
     assert cdc.publish(papers.limit(1), folder) != first and cdc.current(spark, folder).count() == 1
 
 
+def test_what_a_changed_row_has(spark):
+    """Folded byline, arrival, and winners without a sequence or a time."""
+    papers = spark.createDataFrame([paper("a/1"), paper("a/2"), paper("a/3"), paper("a/4"), paper("a/4"), paper("a/5")], PAPERS)
+    records = [
+        record(None, "live", "a/1", 1, creators=["Zoé Übel"]),
+        record(1, "deleted", "a/2", 1), record(2, "live", "a/2", 2), record(3, "live", "a/2", 3), record(9, "live", "a/2", 2),
+        record(4, "live", "a/3", 5, "first"), record(5, "deleted", "a/3", 5), record(6, "live", "a/3", 5, "again"), record(7, "live", "a/3", 5, "first"),
+        record(8, "live", "a/4", 2),
+        record(10, "live", "b/1", None),
+        record(11, "live", "b/2", 4), record(12, "live", "b/2", 3), record(13, "deleted", "b/2", 2),
+    ]
+    for order in (records, records[::-1]):
+        got = cdc.apply_feed(papers, spark.createDataFrame(order, FEED).repartition(3)).collect()
+        out = {r.id: r for r in got}
+        assert len(got) == len(out) and set(out) == {"a/1", "a/2", "a/3", "a/4", "a/5", "b/1", "b/2"}
+        assert (out["a/1"].authors, out["a/1"].authors_fold, out["a/1"].added) == ("Zoé Übel", "zo ubel", T0)
+        assert out["a/2"].added == T0 + timedelta(hours=2)
+        assert (out["a/3"].title, out["a/3"].added) == ("again", T0 + timedelta(hours=6))
+        assert out["a/4"].added == T0 and out["a/5"].title == "old"
+        assert out["b/1"].added == T0 + timedelta(hours=10) and out["b/2"].added == T0 + timedelta(hours=12)
+    assert cdc.apply_feed(papers.limit(0), spark.createDataFrame([], FEED)).count() == 0
+
+
+def test_publishing_some_buckets(spark, tmp_path):
+    folder = f"file://{tmp_path}/t"
+    rows = lambda pairs: spark.createDataFrame(pairs, "id string, n int, bucket int")
+    read = lambda: sorted((r.id, r.n) for r in cdc.current(spark, folder).collect())
+    cdc.publish(rows([("a", 1, 0), ("b", 1, 1), ("c", 1, 2)]), folder, [0, 1, 2])
+    cdc.publish(rows([("b", 2, 1)]), folder, [1])
+    assert read() == [("a", 1), ("b", 2), ("c", 1)]
+    cdc.publish(rows([("d", 3, 1)]).limit(0), folder, [1, 2])
+    assert read() == [("a", 1)] and cdc.current(spark, folder, [1]).count() == 0
+    for n in range(3):
+        cdc.publish(rows([("a", n, 0)]), folder, [0])
+    assert len([p for p in tmp_path.joinpath("t").iterdir() if p.name.startswith("v-")]) == 2
+
+
 def test_stream_equals_batch(spark, tmp_path):
     records = [record(s, "deleted" if s % 5 == 0 else "live", f"a/{s % 4}", (s * 13) % 29) for s in range(40)]
     df = spark.createDataFrame(records, FEED)
@@ -119,7 +156,7 @@ def test_stream_equals_batch(spark, tmp_path):
     query = feed_stream.run_feed(spark, f"{tmp_path}/in", df.schema, f"file://{tmp_path}/state", f"{tmp_path}/check")
     query.awaitTermination(120)
     key = lambda d: sorted((r.id, r.op, r.seq) for r in d.select("id", "op", "seq").collect())
-    assert key(cdc.current(spark, f"file://{tmp_path}/state")) == key(feed_stream.merge_state(None, df))
+    assert key(cdc.current(spark, f"file://{tmp_path}/state")) == key(feed_stream.merge_state(None, df)) == key(cdc.last_changes(df))
     seen = {r.id: r.added for r in feed_stream.first_seen(df).collect()}
     assert set(seen) <= {f"a/{k}" for k in range(4)}
 
