@@ -165,7 +165,12 @@ _add("json_export", _papers(json_rows))
 # -- change feed, arrivals, standing queries -------------------------------------------
 
 _id = "nullif(trim(list_last(string_split(id, ':')), E' \\t\\n\\r'), '')"
-_add("cdc_state", lambda s, d: merge_state(None, table(s, d, "cdc_records")).select("id", "op", "changed_at", "seq"), f"SELECT id, op, changed_at, seq FROM (SELECT {_id} AS id, op, changed_at, seq, row_number() OVER (PARTITION BY {_id} ORDER BY changed_at DESC, seq) AS r FROM cdc_records) WHERE id IS NOT NULL AND r = 1")
+_add("cdc_state", lambda s, d: merge_state(None, table(s, d, "cdc_records")).select("id", "op", "changed_at", "seq"), f"""
+WITH changes AS (
+  SELECT {_id} AS id, op, changed_at, min(seq) AS seq FROM cdc_records
+  GROUP BY 1, op, changed_at, title, rights, creators, descriptions, subjects, dates, identifiers
+)
+SELECT id, op, changed_at, seq FROM changes WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY changed_at DESC, seq DESC) = 1""")
 _add("cdc_first_seen", lambda s, d: first_seen(table(s, d, "cdc_records")), f"WITH r AS (SELECT {_id} AS id, op, changed_at, seq, received_at FROM cdc_records), dead AS (SELECT id, max((changed_at, seq)) AS x FROM r WHERE op = 'deleted' GROUP BY id) SELECT r.id, arg_min(r.received_at, (r.changed_at, r.seq)) AS added FROM r LEFT JOIN dead ON dead.id = r.id WHERE r.id IS NOT NULL AND r.op = 'live' AND (dead.x IS NULL OR (r.changed_at, r.seq) > dead.x) GROUP BY r.id")
 _add("incremental_window", _papers(lambda p: feed.incremental_from(p, datetime(2025, 1, 14))), "SELECT least(TIMESTAMP '2025-01-14', max(TRY_CAST(left(date, 19) AS TIMESTAMP))) - INTERVAL 2 DAY AS start FROM papers")
 _feed_columns = ("id", "added", "date")
