@@ -159,6 +159,6 @@ def megabytes(size: Column | str) -> Column:
     return F.format_string("%.1f MB", _c(size) / F.lit(1e6))
 
 
-def citation_key(key: Column | str, paper_id: Column | str, prefix: str = "eprint") -> Column:
+def citation_key(key: Column | str, paper_id: Column | str, prefix: str = "preprint") -> Column:
     """The known key, else one made of the id."""
     return F.coalesce(_c(key), F.concat(F.lit(f"{prefix}:"), _c(paper_id)))

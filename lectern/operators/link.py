@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lectern.functions.biblio import norm_title, paper_id_in, surnames
 from lectern.functions.names import byline_names
 
-EPRINT, PUBLISHED = "eprint", "published"
+PREPRINT, PUBLISHED = "preprint", "published"
 #: Years apart where either year is unknown.
 UNKNOWN_GAP = 99
 
@@ -47,12 +47,12 @@ def link_published(papers: DataFrame, entries: DataFrame, compat: bool = False)
     return best.select("paper_id", "x.key", F.lit(PUBLISHED).alias("kind"), "x.year", "x.entry")
 
 
-def link_eprints(papers: DataFrame, entries: DataFrame) -> DataFrame:
+def link_preprints(papers: DataFrame, entries: DataFrame) -> DataFrame:
     """The archive's own entries, by the id they name; of several the last key wins."""
     named = entries.filter(F.col("key").isNotNull()).select("key", paper_id_in("howpublished").alias("paper_id"), "year", F.col("raw").alias("entry")).filter(F.col("paper_id").isNotNull())
     last = named.groupBy("paper_id").agg(F.max_by(F.struct("key", "year", "entry"), F.struct("key", "year", "entry")).alias("x"))
     known = last.join(papers.select(F.col("id").alias("paper_id")), "paper_id", "left_semi")
-    return known.select("paper_id", "x.key", F.lit(EPRINT).alias("kind"), "x.year", "x.entry")
+    return known.select("paper_id", "x.key", F.lit(PREPRINT).alias("kind"), "x.year", "x.entry")
 
 
 def upsert_links(links: DataFrame, order: str) -> DataFrame:

@@ -201,20 +201,20 @@ _add("watch_sync", lambda s, d: watch.sync(_watch_hits(s, d), query.searchable(t
 
 def _links(s: SparkSession, d: str) -> DataFrame:
     papers, entries = table(s, d, "papers"), table(s, d, "bib_entries")
-    return link.link_published(papers, entries).unionByName(link.link_eprints(papers, entries))
+    return link.link_published(papers, entries).unionByName(link.link_preprints(papers, entries))
 
 
 _links_sql = f"""
 WITH l AS (SELECT id, {sql.norm_title('title')} AS t, year AS y, {sql.surnames("array_to_string(" + sql.names('authors') + ", ' and ')")} AS s FROM papers),
 r AS (SELECT DISTINCT key, {sql.norm_title('title')} AS t, coalesce(TRY_CAST(nullif(regexp_extract(year, '(\\d+)', 1), '') AS INTEGER), 0) AS y, year, raw, {sql.surnames('author')} AS s FROM bib_entries WHERE key IS NOT NULL),
 published AS (SELECT l.id AS paper_id, arg_min(struct_pack(key := r.key, year := r.year, entry := r.raw), (CASE WHEN l.y <= 0 OR r.y <= 0 THEN 99 ELSE abs(l.y - r.y) END, r.key)) AS x FROM l JOIN r ON l.t = r.t AND l.t <> '' AND list_has_any(l.s, r.s) GROUP BY l.id),
-eprint AS (SELECT nullif(regexp_extract(howpublished, '(\\d{{4}}/\\d+)', 1), '') AS paper_id, arg_max(struct_pack(key := key, year := year, entry := raw), (key, year, raw)) AS x FROM bib_entries WHERE key IS NOT NULL GROUP BY 1),
-links AS (SELECT paper_id, x.key AS key, 'published' AS kind, x.year AS year, x.entry AS entry FROM published UNION ALL SELECT paper_id, x.key, 'eprint', x.year, x.entry FROM eprint WHERE paper_id IN (SELECT id FROM papers)),
+preprint AS (SELECT nullif(regexp_extract(howpublished, '(\\d{{4}}/\\d+)', 1), '') AS paper_id, arg_max(struct_pack(key := key, year := year, entry := raw), (key, year, raw)) AS x FROM bib_entries WHERE key IS NOT NULL GROUP BY 1),
+links AS (SELECT paper_id, x.key AS key, 'published' AS kind, x.year AS year, x.entry AS entry FROM published UNION ALL SELECT paper_id, x.key, 'preprint', x.year, x.entry FROM preprint WHERE paper_id IN (SELECT id FROM papers)),
 best AS (SELECT paper_id, arg_max(struct_pack(key := key, is_published := kind = 'published', entry := entry), (kind = 'published', key)) AS x FROM links GROUP BY paper_id)
 """
 _add("links", _links, f"{_links_sql} SELECT * FROM links")
 _add("link_published", lambda s, d: link.link_published(table(s, d, "papers"), table(s, d, "bib_entries")).select("paper_id", "key", "year"), f"{_links_sql} SELECT paper_id, key, year FROM links WHERE kind = 'published'")
 _add("best_links", lambda s, d: link.best_links(_links(s, d)), f"{_links_sql} SELECT paper_id, x.key AS key, x.is_published AS is_published, x.entry AS entry FROM best")
-_add("papers_with_links", lambda s, d: link.with_links(table(s, d, "papers").select("id", "title"), _links(s, d)).withColumn("key", biblio.citation_key("key", "id")), f"{_links_sql} SELECT id, title, coalesce(x.key, 'eprint:' || id) AS key, x.is_published AS is_published FROM papers LEFT JOIN best ON paper_id = id")
+_add("papers_with_links", lambda s, d: link.with_links(table(s, d, "papers").select("id", "title"), _links(s, d)).withColumn("key", biblio.citation_key("key", "id")), f"{_links_sql} SELECT id, title, coalesce(x.key, 'preprint:' || id) AS key, x.is_published AS is_published FROM papers LEFT JOIN best ON paper_id = id")
 _add("link_coverage", lambda s, d: link.coverage(table(s, d, "papers"), _links(s, d)), f"{_links_sql} SELECT (SELECT count(*) FROM papers) AS papers, count(DISTINCT paper_id) AS linked, count(DISTINCT paper_id) FILTER (kind = 'published') AS published, round(100 * count(DISTINCT paper_id) / (SELECT count(*) FROM papers), 1) AS linked_percent, round(100 * count(DISTINCT paper_id) FILTER (kind = 'published') / count(DISTINCT paper_id), 1) AS published_percent FROM links")
 _add("status", lambda s, d: query.status(table(s, d, "papers"), _links(s, d), {"last_harvest": "2025-01-14"}), f"{_links_sql} SELECT (SELECT count(*) FROM papers) AS papers, (SELECT max(date) FROM papers) AS newest, count(*) AS links, count(*) FILTER (kind = 'published') AS published, count(DISTINCT paper_id) AS linked, '2025-01-14' AS last_harvest FROM links")

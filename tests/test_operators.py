@@ -131,7 +131,7 @@ def test_links(spark):
     e = spark.createDataFrame(rows, ENTRIES)
     # 2020 itself stands in the archive's entry, which names the other paper
     assert [(r.paper_id, r.key) for r in link.link_published(p, e.filter("key not like 'E%'")).collect()] == [("2020/1", "a")]
-    links = link.link_published(p, e).unionByName(link.link_eprints(p, e))
+    links = link.link_published(p, e).unionByName(link.link_preprints(p, e))
     best = {r.paper_id: (r.key, r.is_published) for r in link.best_links(links).collect()}
     assert best == {"2020/1": ("E:1", True), "2020/2": ("E:1", False)}
     bare = spark.createDataFrame([entry("z", "on keys", raw="year = 2020"), entry("y", "on keys", year="2000")], ENTRIES)
@@ -140,8 +140,8 @@ def test_links(spark):
     cover = link.coverage(p, links).first()
     assert (cover.papers, cover.linked, cover.published, cover.linked_percent) == (3, 2, 1, 66.7)
     assert {r.id: r.key for r in link.with_links(p, links).collect()} == {"2020/1": "E:1", "2020/2": "E:1", "2020/3": None}
-    twice = spark.createDataFrame([("p", "eprint", "k1", 1), ("p", "eprint", "k2", 2), ("p", "published", "k0", 0)], "paper_id string, kind string, key string, n int")
-    assert {(r.kind, r.key) for r in link.upsert_links(twice, "n").collect()} == {("eprint", "k2"), ("published", "k0")}
+    twice = spark.createDataFrame([("p", "preprint", "k1", 1), ("p", "preprint", "k2", 2), ("p", "published", "k0", 0)], "paper_id string, kind string, key string, n int")
+    assert {(r.kind, r.key) for r in link.upsert_links(twice, "n").collect()} == {("preprint", "k2"), ("published", "k0")}
     assert link.link_published(p.limit(0), e).count() == 0 and query.status(p, links, {"last_harvest": "x"}).first().links == 2
 
 
