@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import numpy as np
@@ -20,6 +21,7 @@ ODD_SPACES = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 ODD_HYPHENS = [0x2010, 0x2011, 0xFE63, 0xFF0D]
 
 
+@functools.cache
 def skeleton_table() -> np.ndarray:
     """For each code point of a compatibility-decomposed text the one that stands for it
     in comparisons: lower case, look-alikes as Latin letters, 0 for what does not count
