@@ -3,8 +3,9 @@
 A spelling is taken apart (order of the parts, initials, particles, suffixes, kinds of
 institutions) and put into one order.  Spellings with full given names are strings of a
 metric space; an exact radius join by an edit metric (:mod:`lectern.llm.metric`) finds
-those within two edits, and a check of what the edits changed decides which name the same
-person: one slip does, a different given name or another family's surname does not.
+those one slip apart, with digraphs collapsed or as typed, and a check of what the slip
+changed decides which name the same person: a slip does, a different given name or another
+family's surname does not.
 Spellings with initials meet the persons of the same initial and surname, by equality
 first and by a radius join where nobody has that surname.  Nicknames and the curated
 aliases add equalities.  The links are closed to groups.
@@ -22,14 +23,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.functions.names import ascii_fold_text, fold_text
 from lectern.llm.characters import ALIKE, INVISIBLE
 from lectern.llm.metric import radius_pairs
-from lectern.session import checkpoint, written
+from lectern.session import checkpoint, discard, written
 
-RADIUS = 2
+#: A slip: one edit or one swap of neighbours.
+RADIUS = 1
 #: Short forms of given names and the names they stand for.
 NICKNAMES = {
     "alex": "alexander", "sasha": "alexander", "andy": "andrew andreas", "annie": "anna", "asia": "joanna", "basti": "sebastian", "bella": "isabella", "ben": "benjamin", "beth": "elizabeth",
@@ -50,6 +51,8 @@ SUFFIXES = {"jr", "sr", "ii", "iii", "iv", "jnr", "snr"}
 #: Kinds of institutions.
 KINDS = ("academy", "polytechnic", "institute", "laboratory", "university", "college", "school", "department", "centre", "center", "faculty")
 _KIND_STARTS = {k[:4]: k for k in KINDS}
+#: Spellings of a group that meet in one task.
+BLOCK = 2000
 _CLEAN = str.maketrans({**{a: b for a, b in ALIKE.items()}, **{chr(c): None for c in INVISIBLE}, **{chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}})
 _INITIALS = re.compile(r"(?:[^\W\d_]\.?-?)(?:[^\W\d_]\.-?)*|(?:[^\W\d_]\.-?)+[^\W\d_]\.?")
 
@@ -173,16 +176,6 @@ def _slip(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k:] if len(a) > len(b) else a[k:] == b[k + 1 :]
 
 
-@F.pandas_udf(T.BooleanType())
-def any_slip(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([any(_slip(x, y) for x in xs for y in ys) for xs, ys in zip(a, b)], dtype=bool)
-
-
-@F.pandas_udf(T.BooleanType())
-def one_slip(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_slip(x, y) for x, y in zip(a, b)], dtype=bool)
-
-
 def _canonical_forms(names: DataFrame) -> DataFrame:
     """(name_id, shape, given, middle, surname, key): the parts in one order.  ``key`` is
     what the metric compares: given name and surname, or place and kind."""
@@ -215,14 +208,16 @@ def _groups(edges: DataFrame, rounds: int = 50) -> DataFrame:
     both = written(edges.filter("a != b").select("a", "b").union(edges.filter("a != b").select("b", "a")).distinct(), "edges")
     label = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("group")).withColumnRenamed("a", "key"), "labels")
     for _ in range(rounds):
-        offered = both.join(label.withColumnRenamed("key", "b"), "b").groupBy("a").agg(F.min("group").alias("offer")).withColumnRenamed("a", "key")
-        lower = label.join(offered, "key").select("key", F.least("group", "offer").alias("group"), F.col("group").alias("old"))
+        offered = both.join(label.select(F.col("key").alias("b"), "group"), "b").groupBy("a").agg(F.min("group").alias("offer")).withColumnRenamed("a", "key")
+        lower = label.select("key", "group").join(offered, "key").select("key", F.least("group", "offer").alias("group"), F.col("group").alias("old"))
         jump = lower.select(F.col("key").alias("group"), F.col("group").alias("far"))
         new = written(lower.join(jump, "group", "left").select("key", F.least("group", F.coalesce("far", "group")).alias("group"), "old"), "labels")
         changed = not new.filter(F.col("group") != F.col("old")).isEmpty()
-        label = new.select("key", "group")
+        discard(label)
         if not changed:
-            return label
+            discard(both)
+            return new.select("key", "group")
+        label = new
     raise RuntimeError("groups did not settle")
 
 
@@ -245,17 +240,23 @@ def name_groups(names: DataFrame, aliases: DataFrame | None = None, radius: int
     persons = keys.filter(F.col("shape") == "full")
     given = persons.groupBy("given").agg(F.count("*").alias("spread"))
     family = persons.groupBy("surname").agg(F.count_distinct("given").alias("members"))
-    near = radius_pairs(keys.select("key"), radius)
+    # a slip may fall on one of two letters that would collapse, so both forms are strings
+    spelled = keys.select("key", F.explode(F.array_union("raws", F.array("key"))).alias("string"))
+    near = radius_pairs(spelled.select(F.col("string").alias("key")), radius).select("a", "b")
+    named = lambda s: spelled.select(F.col("string").alias(s), F.col("key").alias("key_" + s))
+    alike = near.join(named("a"), "a").join(named("b"), "b").filter("key_a <> key_b").select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b"))
+    # different keys typed alike
+    alike = alike.union(named("a").withColumnRenamed("a", "string").join(named("b").withColumnRenamed("b", "string"), "string").filter("key_a < key_b").select("key_a", "key_b")).distinct()
     parts = keys.join(given, "given", "left").join(family, "surname", "left")
-    side = lambda s: parts.select(*[F.col(c).alias(c + s) for c in ("key", "shape", "given", "surname", "spread", "members", "raws")])
-    pairs = near.join(side("_a"), F.col("a") == F.col("key_a")).join(side("_b"), F.col("b") == F.col("key_b"))
+    side = lambda s: parts.select(*[F.col(c).alias(c + s) for c in ("key", "shape", "given", "surname", "spread", "members")])
+    pairs = alike.join(side("_a"), F.col("a") == F.col("key_a")).join(side("_b"), F.col("b") == F.col("key_b"))
     least, most = F.least("spread_a", "spread_b"), F.greatest("spread_a", "spread_b")
     # two given names in use, not a slip in one: both are frequent, or they differ in their ending alone
     stem = F.least(F.length("given_a"), F.length("given_b")) - 1
     ending = F.substring(F.col("given_a"), F.lit(1), stem) == F.substring(F.col("given_b"), F.lit(1), stem)
     two_givens = (F.col("given_a") != F.col("given_b")) & (F.col("surname_a") == F.col("surname_b")) & (((least >= 5) & (least >= 0.1 * most)) | (ending & (least >= 0.1 * most)))
     two_families = (F.col("surname_a") != F.col("surname_b")) & (F.least("members_a", "members_b") >= 2)
-    same = pairs.filter((one_slip("a", "b") | any_slip("raws_a", "raws_b")) & ((F.col("shape_a") != F.col("shape_b")) | ~F.coalesce(two_givens, F.lit(False)) & ~F.coalesce(two_families, F.lit(False))))
+    same = pairs.filter(((F.col("shape_a") != F.col("shape_b")) | ~F.coalesce(two_givens, F.lit(False)) & ~F.coalesce(two_families, F.lit(False))))
     edges = same.select("a", "b")
 
     table = F.create_map(*[F.lit(x) for k, v in SHORT_FORMS.items() for x in (k, v)])
@@ -293,7 +294,7 @@ def name_groups(names: DataFrame, aliases: DataFrame | None = None, radius: int
     exact = wanted.join(reduced.select("brief", "group", "ms"), "brief")
     lone = wanted.select("brief").distinct().join(reduced.select("brief").distinct(), "brief", "left_anti")
     space = reduced.select(F.col("brief").alias("key"), F.lit(False).alias("query")).union(lone.select(F.col("brief").alias("key"), F.lit(True).alias("query")))
-    close = radius_pairs(space, radius).filter(one_slip("a", "b"))
+    close = radius_pairs(space, radius)
     slips = close.select(F.col("a").alias("brief"), F.col("b").alias("other")).union(close.select(F.col("b").alias("brief"), F.col("a").alias("other")))
     slipped = wanted.join(lone, "brief").join(slips, "brief").join(reduced.select(F.col("brief").alias("other"), "group", "ms"), "other").filter(F.substring("brief", 1, 1) == F.substring("other", 1, 1))
     offers = exact.select("brief", "m", "group", "ms").union(slipped.select("brief", "m", "group", "ms"))
@@ -308,9 +309,15 @@ def name_groups(names: DataFrame, aliases: DataFrame | None = None, radius: int
     return of_people.unionByName(of_briefs).unionByName(others).distinct()
 
 
-def same_name_pairs(names: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(name_id_a, name_id_b), a < b: all pairs within the groups of :func:`name_groups`."""
-    groups = checkpoint(name_groups(names, aliases))
-    a = groups.select("group", F.col("name_id").alias("name_id_a"))
-    b = groups.select("group", F.col("name_id").alias("name_id_b"))
-    return a.join(b, "group").filter("name_id_a < name_id_b").select("name_id_a", "name_id_b").distinct()
+def same_name_pairs(names: DataFrame, aliases: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """(name_id_a, name_id_b), a < b: all pairs within the groups of :func:`name_groups`.
+    A group of more than ``block`` spellings is cut into blocks of about that many, and
+    each two of them meet in a task of their own."""
+    groups = checkpoint(name_groups(names, aliases).filter(F.col("name_id").isNotNull()).distinct())
+    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("n")).filter("n > 0")
+    part = F.pmod(F.xxhash64("name_id"), F.col("n")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    cut = groups.join(sizes, "group")
+    a = cut.select("group", part.alias("i"), every.alias("j"), F.col("name_id").alias("name_id_a"))
+    b = cut.select("group", every.alias("i"), part.alias("j"), F.col("name_id").alias("name_id_b"))
+    return a.join(b, ["group", "i", "j"]).filter("name_id_a < name_id_b").select("name_id_a", "name_id_b")
