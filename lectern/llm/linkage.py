@@ -1,23 +1,28 @@
 """Matching records of two sources that share no key.
 
 Probabilistic record linkage.  Several blocking passes bring candidate pairs together, each
-by a key that survives one kind of difference: the title without any one word together
-with an author's surname (typing errors, a word more or less, hyphens), the whole title
-with a surname's first letter (a misspelt surname), the whole title where a side has no
-authors.  No key holds the year, which the sources often give differently.  A candidate pair becomes a vector of agreement levels of
-title, authors and year.  Expectation-maximisation over the counts of all vectors estimates
-how often each level occurs among matches and among non-matches; the posterior probability
-of a vector is the confidence of its pairs.
+by a key that survives one kind of difference: three of the title's longest words, or the
+whole of a part of it, with an author's surname (typing errors, words or parts more or less),
+the whole title or a part with a surname's and a given name's first letters (a misspelt
+surname), the whole title or three
+of its longest words where a side has no authors.  No key holds the year, which the sources often give
+differently; keys that many records share are split.  A candidate pair becomes a vector of
+agreement levels of title, authors and year.  Expectation-maximisation over the counts of
+all vectors estimates how often each level occurs among matches and among non-matches; the
+posterior probability of a vector, shared among the papers that an entry may be, is the
+confidence of its pairs, and nothing else decides.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,27 +30,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.arrowtext import text_chunks
-from lectern.functions.names import ascii_fold_text
+from lectern.functions.names import deaccent_text
 from lectern.llm.characters import ALIKE, INVISIBLE
 from lectern.llm.variants import _particles, _slip, parse
 from lectern.operators.multivalue import split_column
-from lectern.session import spread, written
+from lectern.session import discard, spread_thin, written
 
 #: Least confidence of a match.
 CONFIDENT = 0.9
+#: Longest words of a title that its keys are made of.
+TOP_WORDS = 5
+#: Records of one key that meet in one task, of either side.
+BLOCK = 1000
 #: TeX commands for letters.
 TEX_LETTERS = {"o": "o", "O": "O", "l": "l", "L": "L", "aa": "aa", "AA": "AA", "ae": "ae", "AE": "AE", "oe": "oe", "OE": "OE", "ss": "ss", "i": "i", "j": "j"}
-#: Phrases that name an edition of the same work.
-EDITIONS = re.compile(r"[\s,:.\-–—(\[]*(?:short paper|full paper|full version|extended abstract|extended version|preliminary version|revised version|or:? why less is enough)[\s)\].]*$", re.I)
-#: Abbreviations of terms.
-SHORT_TERMS = {"signatureschemes": "signatures", "learningwitherrors": "lwe", "zeroknowledge": "zk", "multipartycomputation": "mpc", "identitybased": "idbased", "encryption": "enc", "authentication": "auth", "signatures": "sigs"}
 GREEK = {unicodedata.name(chr(c)).split()[-1] for c in range(0x3B1, 0x3CA)}
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
 _CLEAN = str.maketrans({**ALIKE, **{chr(c): None for c in INVISIBLE}})
 _ACCENT = re.compile(r"\\[`'^\"~=.](?:\{\\?([A-Za-z]+)\}|\\?([A-Za-z]))|\\[cvHukrdbt](?:\{([A-Za-z]+)\}|\s+([A-Za-z]))")
 _COMMAND = re.compile(r"\\([A-Za-z]+)\s?(?:\{\})?")
+_MARKUP = re.compile(r"[{}$^\\]")
+_BETWEEN = re.compile(r"([\W_]+)")
+#: Between two words: what sets the second off from the first.
+_SETS_OFF = re.compile(r"[:;,.?!()\[\]—]|\s[-–]+\s")
+#: Marks in front of words.
+MARKS = "|-"
+#: Agreement levels of titles.
+OTHER, REPLACED, CONTAINED, MORE, PART, SLIPS, SAME = range(7)
 #: Numbers of agreement levels; the last one of authors and of year means a missing value.
-LEVELS = {"title": 3, "authors": 5, "year": 4}
+LEVELS = {"title": 7, "authors": 5, "year": 4}
+MISSING = {"title": None, "authors": 4, "year": 3}
 
 
 def plain_tex(text: str) -> str:
@@ -53,47 +67,145 @@ def plain_tex(text: str) -> str:
     if "\\" in text:
         text = _ACCENT.sub(lambda m: next(g for g in m.groups() if g), text)
         text = _COMMAND.sub(lambda m: TEX_LETTERS.get(m[1], m[1][0] if m[1].upper() in GREEK else f" {m[1]} "), text)
-    return re.sub(r"[{}$^\\]", "", text)
-
-
-def title_words(title: str | None) -> tuple[list[str], list[str], int, list[str]]:
-    """The folded words of a title, those after its first colon (empty if there is none),
-    the number of the part it names (0: none), and its words as spaces part them, so that
-    a hyphenated word is one."""
-    text = plain_tex((title or "").translate(_CLEAN))
-    text = unicodedata.normalize("NFKC", text)
-    while (cut := EDITIONS.sub("", text)) != text:
-        text = cut
-    text = "".join(unicodedata.name(c).split()[-1][0].lower() if "α" <= c <= "ω" else c for c in text)
-    head, _, tail = text.partition(":")
-    words, rest = ascii_fold_text(text).split(), ascii_fold_text(tail).split()
-    part = 0
-    if len(words) > 2 and (words[-1] in ROMAN or (words[-2] == "part" and words[-1].isdigit()) or words[-1].isdigit() and len(words[-1]) == 1):
-        part = ROMAN.get(words[-1]) or int(words[-1])
-        drop = 2 if words[-2] == "part" else 1
-        words, rest = words[:-drop], rest[:-drop]
-    whole, wide = "".join(words), []
-    for token in text.split():
-        word = "".join(ascii_fold_text(token).split())
-        if word and whole.startswith(word, sum(map(len, wide))):
-            wide.append(word)
-    return words, rest if len(rest) > 2 and head.strip() else [], part, wide if sum(map(len, wide)) == len(whole) else words
-
-
-def shortened(words: list[str], rest: list[str], wide: list[str]) -> tuple[set[str], set[str]]:
-    """The title without any one word; and without what stands in front: its name up to
-    the colon, or two or three leading words."""
-    less = {compact(w[:i] + w[i + 1 :]) for w in (words, wide) for i in range(len(w)) if len(w) > 3}
-    less.discard("")
-    tails = {compact(rest)} if rest else set()
-    return less, tails | {compact(wide[k:]) for k in (2, 3) if len(wide) > k + 2}
-
-
-def compact(words: list[str]) -> str:
-    out = "".join(words)
-    for long, short in SHORT_TERMS.items():
-        out = out.replace(long, short)
-    return out
+    return _MARKUP.sub("", text)
+
+
+def title_words(title: str | None) -> str:
+    """The folded words of a title between spaces.  A word that punctuation sets off from
+    what stands before it has a bar in front, one that no white space parts from it a
+    hyphen.  The number of a part is in digits."""
+    text = plain_tex(title or "")
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text.translate(_CLEAN))
+        text = "".join(unicodedata.name(c).split()[-1][0].lower() if "α" <= c <= "ω" else c for c in text)
+        text = deaccent_text(text)
+    pieces = _BETWEEN.split(text.lower().strip())
+    words: list[str] = []
+    mark = ""
+    for k, piece in enumerate(pieces):
+        if k % 2:
+            mark = "-" if not any(map(str.isspace, piece)) else "|" if _SETS_OFF.search(piece) else ""
+        elif piece:
+            number = ROMAN.get(piece) if len(piece) > 1 or words and words[-1].lstrip(MARKS) == "part" or k >= len(pieces) - 2 and len(words) > 1 else None
+            words.append((mark if words else "") + (str(number) if number else piece))
+    return " ".join(words)
+
+
+def _bare(words: list[str]) -> list[str]:
+    return [w.lstrip(MARKS) for w in words]
+
+
+def parts(words: list[str]) -> list[list[str]]:
+    """What stands before and after each mark that sets a word off."""
+    return [x for k, w in enumerate(words) if w[0] == "|" for x in (words[:k], words[k:])]
+
+
+def _abbreviates(short: str, long: str) -> bool:
+    """Whether the letters of ``short`` stand in ``long`` in that order, its first at the start."""
+    if len(short) < 2 or len(short) >= len(long) or short[0] != long[0]:
+        return False
+    rest = iter(long)
+    return all(c in rest for c in short)
+
+
+def _two_slips(a: str, b: str) -> bool:
+    """Two edits or swaps in long names: a slip of either side."""
+    n = min(len(a), len(b))
+    if n < 8 or abs(len(a) - len(b)) > 2:
+        return False
+    k = 0
+    while k < n and a[k] == b[k]:
+        k += 1
+    after = ((a[k + 1 :], b[k + 1 :]), (a[k + 1 :], b[k:]), (a[k:], b[k + 1 :]), (a[k + 2 :], b[k + 2 :]) if a[k : k + 2] == b[k : k + 2][::-1] else (a, b))
+    return any(_slip(x, y) for x, y in after)
+
+
+def _same_word(a: str, b: str) -> bool:
+    """Equal, a slip apart, or one an abbreviation of the other; numbers only if equal."""
+    if a == b:
+        return True
+    if a.isdigit() or b.isdigit():
+        return False
+    return (min(len(a), len(b)) > 3 and (_slip(a, b) or _two_slips(a, b))) or (_abbreviates(a, b) or _abbreviates(b, a))
+
+
+def _stands_for(short: str, words: list[str]) -> bool:
+    """Whether a word is made of others: their initials (of all, or of those of four
+    letters and more), or some of their letters in order."""
+    return len(short) > 1 and short in ("".join(w[0] for w in words), "".join(w[0] for w in words if len(w) > 3)) or _abbreviates(short, "".join(words))
+
+
+def _aligned(a: list[str], b: list[str]) -> bool:
+    """Whether the words of two lists are the same in order, some of them abbreviated."""
+    i = j = 0
+    while i < len(a) and j < len(b):
+        tests = ((1, 1),) if a[i] == b[j] else ()
+        tests += tuple((1, k) for k in range(2, 5) if a[i] == "".join(b[j : j + k])) + tuple((k, 1) for k in range(2, 5) if b[j] == "".join(a[i : i + k]))
+        tests = tests or (((1, 1),) if _same_word(a[i], b[j]) else ())
+        tests = tests or next(((t,) for k in range(2, 5) for t, ok in (((1, k), _stands_for(a[i], b[j : j + k])), ((k, 1), _stands_for(b[j], a[i : i + k]))) if ok), ())
+        if not tests:
+            return False
+        i, j = min(i + tests[0][0], len(a)), min(j + tests[0][1], len(b))
+    return i == len(a) and j == len(b)
+
+
+def _numbers(words: list[str]) -> list[str]:
+    """The numbers at the ends of a title's parts."""
+    return [w.lstrip(MARKS) for k, w in enumerate(words) if w[-1].isdigit() and w.lstrip(MARKS).isdigit() and w[0] != "-" and (k == len(words) - 1 or words[k + 1][0] == "|")]
+
+
+def title_level(x: str, y: str) -> int:
+    """How far two titles, as :func:`title_words` gives them, agree.
+
+    SAME words; only SLIPS, abbreviations and other hyphens; one has a PART more that
+    punctuation sets off at either end; one has one word MORE; one is CONTAINED in the
+    other at its start or end, and no shorter than half of it; one word is REPLACED by
+    another; OTHER words or numbers."""
+    if not x or not y:
+        return OTHER
+    a, b = x.split(" "), y.split(" ")
+    if x == y or _bare(a) == _bare(b):
+        return SAME
+    if _numbers(a) != _numbers(b):
+        return OTHER
+    short = min(len(a), len(b))
+    if short > 3 and 2 * len(set(_bare(a)) & set(_bare(b))) < short:
+        return OTHER
+    level = _words_level(a, b)
+    if level < PART:
+        for whole, other in ((a, b), (b, a)):
+            if any(len(part) > 1 and _numbers(part) == _numbers(whole) and _words_level(part, other) >= SLIPS for part in parts(whole)):
+                return PART
+    return level
+
+
+def _words_level(x: list[str], y: list[str]) -> int:
+    a, b = _bare(x), _bare(y)
+    if a == b or "".join(a) == "".join(b):
+        return SAME if a == b else SLIPS
+    k, n = 0, min(len(a), len(b))
+    while k < n and a[k] == b[k]:
+        k += 1
+    e = 0
+    while e < n - k and a[-1 - e] == b[-1 - e]:
+        e += 1
+    u, v = a[k : len(a) - e], b[k : len(b) - e]  # what differs
+    one = lambda w: all(z[0] == "-" for z in w[k + 1 : len(w) - e])  # noqa: E731  no white space inside
+    if not u or not v:
+        return MORE if one(x) and one(y) else CONTAINED if n > 2 and 2 * n >= max(len(a), len(b)) and not (k and e) else OTHER
+    p, q = "".join(u), "".join(v)
+    if (not any(w.isdigit() for w in u + v) and (_slip(p, q) or _two_slips(p, q))) or _aligned(u, v):
+        return SLIPS
+    if abs(len(u) - len(v)) == 1:
+        long, short = (u, v) if len(u) > len(v) else (v, u)
+        if any(_aligned(long[:i] + long[i + 1 :], short) for i in range(len(long))):
+            return MORE
+    if one(x) and one(y) or len(u) == len(v) and sum(not _same_word(s, t) for s, t in zip(u, v)) == 1:
+        return REPLACED
+    left, right = Counter(a), Counter(b)
+    both = sum((left & right).values())
+    moved = (len(a) - both, len(b) - both)
+    return (SLIPS, MORE, REPLACED)[sum(moved)] if max(moved) < 2 else OTHER
 
 
 def year_of(value: object) -> int:
@@ -101,89 +213,49 @@ def year_of(value: object) -> int:
     return int(found[0]) if found else 0
 
 
+@lru_cache(1 << 16)
+def _person(name: str) -> tuple[str, str, str] | None:
+    p = parse(plain_tex(name))
+    particle = _particles(plain_tex(name))  # some sources leave them out
+    bare = lambda s, q=particle: s[len(q) :] if q and s.startswith(q) and len(s) > len(q) + 2 else s
+    if p["shape"] == "full":
+        surname = bare(p["surname"] or "".join(p["words"][1:]))
+        return surname, p["head"][:1], "" if p["fixed"] else p["words"][-1] if len(p["words"]) > 2 else p["head"]
+    return (bare(p["surname"]), p["head"][:1], "") if p["surname"] else None
+
+
 def people(names: list[str]) -> list[tuple[str, str, str]]:
     """(surname, given initial, what else the surname may be) of each name: the first word
     of two, if they stand the other way round; the last of more; '' where the form of the
     name settles it."""
-    out = []
-    for name in names:
-        p = parse(plain_tex(name))
-        particle = _particles(plain_tex(name))  # some sources leave them out
-        bare = lambda s, q=particle: s[len(q) :] if q and s.startswith(q) and len(s) > len(q) + 2 else s
-        if p["shape"] == "full":
-            surname = bare(p["surname"] or "".join(p["words"][1:]))
-            out.append((surname, p["head"][:1], ("" if p["fixed"] else p["words"][-1] if len(p["words"]) > 2 else p["head"])))
-        elif p["surname"]:
-            out.append((bare(p["surname"]), p["head"][:1], ""))
-    return out
+    return [p for p in map(_person, names) if p]
 
 
-def blocking_keys(title: tuple[list[str], list[str], int, list[str]], persons: list[tuple[str, str, str]], paper: bool) -> set[int]:
+def blocking_keys(title: str, persons: list[tuple[str, str, str]], paper: bool) -> set[int]:
     """Hashes of the keys of all passes."""
-    words, rest, _, wide = title
-    if not words:
+    marked = title.split()
+    if not marked:
         return set()
-    less, tails = shortened(words, rest, wide)
-    less |= {compact(rest[:i] + rest[i + 1 :]) for i in range(len(rest))} if len(rest) > 4 else set()
-    whole = {compact(words)} | tails
-    less.add("".join(words))
+    whole = "".join(_bare(marked))
+    # hyphenated words are one: some sources print them so
+    units = lambda part: set(" ".join(part).replace(" -", "").replace("|", "").lstrip(MARKS).split(" "))
+    longest = lambda part, n: sorted(sorted(units(part), key=lambda w: (-len(w), w))[:n])
+    top = longest(marked, TOP_WORDS)
+    groups = {whole} | {" ".join(g) for g in combinations(top, min(3, max(1, len(top) - 1)))}
+    sections = {whole} | {"".join(_bare(part)) for part in parts(marked)}
+    groups |= sections | {" ".join(longest(part, 3)) for part in parts(marked)}
+    few = {whole} | {" ".join(g) for g in combinations(longest(marked, 4), 3)}
     surnames = {s for s, _, _ in persons}
     if len(persons) == 1:  # a lone name may stand the other way round
         surnames |= {h for _, _, h in persons if h}
-    keys = {f"s|{t}|{s}" for t in whole | less for s in surnames}
-    keys |= {f"i|{t}|{s[:1]}" for t in whole for s in surnames}
+    keys = {f"s|{t}|{s}" for t in groups for s in surnames} | {f"i|{whole}|{s[:1]}" for s in surnames}
+    keys |= {f"i|{t}|{s[:1]}|{i}" for t in sections for s, i, _ in persons}
     # a side without authors meets all records of the other with that title
     lacking, other = ("p", "e") if paper else ("e", "p")
-    keys |= {f"{other}|{t}" for t in whole} | ({f"{lacking}|{t}" for t in whole} if not surnames else set())
+    keys |= {f"{other}|{t}" for t in few} | ({f"{lacking}|{t}" for t in few} if not surnames else set())
     return {xxhash.xxh3_64_intdigest(k) - (1 << 63) for k in keys}
 
 
-def title_level(a: tuple[list[str], list[str], int, list[str]], b: tuple[list[str], list[str], int, list[str]]) -> int:
-    """2: the same words; 1: one word more, less, misspelt or abbreviated, or one title
-    without what stands in front of the other; 0: another title or another part."""
-    if a[2] != b[2] or not a[0] or not b[0]:
-        return 0
-    x, y = compact(a[0]), compact(b[0])
-    if x == y:
-        return 2
-    less_a, tails_a = shortened(a[0], a[1], a[3])
-    less_b, tails_b = shortened(b[0], b[1], b[3])
-    if x in less_b or y in less_a or x in tails_b or y in tails_a:
-        return 1
-    for s, t in ((x, y), ("".join(a[0]), "".join(b[0])), *((z, y) for z in tails_a | less_a), *((x, z) for z in tails_b | less_b)):
-        if _slip(s, t):
-            return 1
-    k = 0
-    while k < min(len(x), len(y)) and x[k] == y[k]:
-        k += 1
-    e = 0
-    while e < min(len(x), len(y)) - k and x[-1 - e] == y[-1 - e]:
-        e += 1
-    u, v = x[k : len(x) - e], y[k : len(y) - e]  # what differs
-    if max(len(u), len(v)) <= 3 and abs(len(u) - len(v)) <= 1:
-        return 1
-    if not u or not v:  # an abbreviated word
-        n = len(u) + len(v)
-        for w, z in ((a[0], y), (b[0], x)):
-            if any(len(word) - n > 2 and compact([*w[:i], word[: len(word) - n], *w[i + 1 :]]) == z for i, word in enumerate(w)):
-                return 1
-    if a[1] and y in {compact(a[1][:i] + a[1][i + 1 :]) for i in range(len(a[1]))} or b[1] and x in {compact(b[1][:i] + b[1][i + 1 :]) for i in range(len(b[1]))}:
-        return 1
-    return 0
-
-
-def _two_slips(a: str, b: str) -> bool:
-    """Two edits or swaps in long names: a slip of either side."""
-    n = min(len(a), len(b))
-    if n < 8 or abs(len(a) - len(b)) > 2:
-        return False
-    k = 0
-    while k < n and a[k] == b[k]:
-        k += 1
-    after = ((a[k + 1 :], b[k + 1 :]), (a[k + 1 :], b[k:]), (a[k:], b[k + 1 :]), (a[k + 2 :], b[k + 2 :]) if a[k : k + 2] == b[k : k + 2][::-1] else (a, b))
-    return any(_slip(x, y) for x, y in after)
-
-
 def same_person(a: tuple[str, str, str], b: tuple[str, str, str]) -> bool:
     """Surnames equal or one slip apart, initials not against it; or the parts of one
     stand the other way round."""
@@ -213,15 +285,13 @@ def year_level(a: int, b: int) -> int:
     return 3 if not a or not b else 2 if a == b else 1 if abs(a - b) == 1 else 0
 
 
-_PERSON = T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("surname", "initial", "other")]))
-_WORDS = T.ArrayType(T.StringType())
-_FEATURES = T.StructType([T.StructField("rec", T.StringType()), T.StructField("words", _WORDS), T.StructField("rest", _WORDS), T.StructField("part", T.IntegerType()), T.StructField("wide", _WORDS), T.StructField("persons", _PERSON), T.StructField("year", T.IntegerType()), T.StructField("whole", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+_FEATURES = T.StructType([T.StructField("rec", T.StringType()), T.StructField("title", T.StringType()), T.StructField("people", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("surnames", T.ArrayType(T.StringType())), T.StructField("content", T.StringType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
 def features(records: DataFrame, key: str, title: str, authors: str, year: str, paper: bool) -> DataFrame:
-    """What the comparison needs of each record, and its blocking keys; rows equal in all
-    columns used are one record."""
-    source = records.select(F.col(key).cast("string").alias("rec"), F.col(title).alias("title"), F.col(authors).alias("authors"), F.col(year).cast("string").alias("year")).filter(F.col("rec").isNotNull()).distinct()
+    """What the comparison needs of each record, and its blocking keys; ``content`` is
+    equal where all that is compared is."""
+    source = records.select(F.col(key).cast("string").alias("rec"), F.col(title).alias("title"), F.col(authors).alias("authors"), F.col(year).cast("string").alias("year")).filter(F.col("rec").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,60 +303,57 @@ def features(records: DataFrame, key: str, title: str, authors: str, year: str,
                 packed += [flat[offsets[i] : offsets[i + 1]] for i in range(len(offsets) - 1)]
             out = []
             for rec, title_, names, year_ in zip(rows["rec"], rows["title"], packed, rows["year"]):
-                title4 = title_words(title_)
-                persons, y = people(names), year_of(year_)
-                out.append((rec, *title4, [dict(zip(("surname", "initial", "other"), p)) for p in persons], y, xxhash.xxh3_64_intdigest(f"{compact(title4[0])}|{title4[2]}") - (1 << 63) if title4[0] else None, sorted(blocking_keys(title4, persons, paper))))
+                words, persons, y = title_words(title_), people(names), year_of(year_)
+                them = ";".join(map(",".join, persons))
+                out.append((rec, words, them, y, sorted({s for s, _, _ in persons}), xxhash.xxh3_128_hexdigest(f"{words}\n{them}\n{y}"), sorted(blocking_keys(words, persons, paper))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), arrow)], schema=pa.schema(list(zip(_FEATURES.names, arrow))))
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(_FEATURES).types
-    return spread(source, "rec").mapInArrow(run, _FEATURES)
+    return spread_thin(source).mapInArrow(run, _FEATURES)
 
 
-def distinct_features(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One record of each that differ in nothing compared, the one with the smallest key;
-    and (rec, same) for all: the record that stands for it.  Copies behave alike, so only
-    their representatives meet."""
-    content = [c for c in records.columns if c not in ("rec", "keys", "whole")]
-    marked = records.withColumn("_content", F.sha2(F.to_json(F.struct(*content)), 256))
-    first = marked.groupBy("_content").agg(F.min("rec").alias("same"))
-    members = marked.select("rec", "_content").join(first, "_content").select("rec", "same")
-    return records.join(first.select(F.col("same").alias("rec")), "rec", "left_semi"), members
+def distinct_features(records: DataFrame) -> DataFrame:
+    """One record of each that differ in nothing compared, the one with the smallest key.
+    Copies behave alike, so only their representatives meet."""
+    rest = [c for c in records.columns if c != "content"]
+    return records.groupBy("content").agg(F.min_by(F.struct(*rest), "rec").alias("x")).select("content", "x.*")
 
 
-def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of records that share a key of some pass."""
+def candidates(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs of records that share a key of some pass.  Of a key with more than ``block``
+    records on a side, every part of about that many meets every part of the other side
+    in a task of its own."""
     x = a.select(F.col("rec").alias("rec_a"), F.explode("keys").alias("key"))
     y = b.select(F.col("rec").alias("rec_b"), F.explode("keys").alias("key"))
-    return x.join(y, "key").select("rec_a", "rec_b").distinct()
+    parts = lambda df, n: df.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias(n))
+    both = parts(x, "is").join(parts(y, "js"), "key").filter("is > 1 OR js > 1")
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    left = x.join(both, "key", "left").select("key", F.coalesce(own("rec_a", "is"), F.lit(0)).alias("i"), every(F.col("js")).alias("j"), "rec_a")
+    right = y.join(both, "key", "left").select("key", every(F.col("is")).alias("i"), F.coalesce(own("rec_b", "js"), F.lit(0)).alias("j"), "rec_b")
+    return left.join(right, ["key", "i", "j"]).select("rec_a", "rec_b").distinct()
 
 
-def without_rivals(a: DataFrame, matched: DataFrame) -> DataFrame:
-    """``matched`` without the pairs that nothing but the title speaks for, no authors to
-    compare and no equal year, if several records have that title: more than one of ``a``,
-    or more than one such pair of the entry at its best level of title."""
-    unsure = (F.col("authors") == LEVELS["authors"] - 1) & (F.col("year") != 2)
-    shared = a.join(a.filter(F.col("whole").isNotNull()).groupBy("whole").count().filter("count > 1"), "whole", "left_semi").select(F.col("rec").alias("rec_a"))
-    titled = matched.filter(unsure)
-    best = titled.groupBy("rec_b", "title").agg(F.count("*").alias("n")).groupBy("rec_b").agg(F.max("title").alias("title"), F.max_by("n", "title").alias("n")).filter("n = 1").drop("n")
-    return matched.filter(~unsure).unionByName(titled.join(shared, "rec_a", "left_anti").join(best, ["rec_b", "title"], "left_semi").select(*matched.columns))
+@lru_cache(1 << 14)
+def _split(them: str) -> list[tuple[str, str, str]]:
+    return [tuple(p.split(",")) for p in them.split(";")] if them else []
 
 
 def compared(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
     """The agreement levels of each pair."""
-    side = lambda df, s: df.select(*[F.col(c).alias(c + s) for c in ("rec", "words", "rest", "part", "wide", "persons", "year")])
+    side = lambda df, s: df.select(*[F.col(c).alias(c + s) for c in ("rec", "title", "people", "year")])
     joined = pairs.join(side(a, "_a"), "rec_a").join(side(b, "_b"), "rec_b")
     fields = [T.StructField("rec_a", T.StringType()), T.StructField("rec_b", T.StringType()), *[T.StructField(x, T.IntegerType()) for x in (*LEVELS, "gap")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             r = batch.to_pydict()
-            person = lambda ps: [(p["surname"], p["initial"], p["other"]) for p in ps]
             levels = [
-                (title_level((wa, ra, pa_, la), (wb, rb, pb, lb)), authors_level(person(xa), person(xb)), year_level(ya, yb), abs(ya - yb) if ya and yb else 99)
-                for wa, ra, pa_, la, xa, ya, wb, rb, pb, lb, xb, yb in zip(*[r[c + s] for s in ("_a", "_b") for c in ("words", "rest", "part", "wide", "persons", "year")])
+                (title_level(x, y), authors_level(_split(p), _split(q)), year_level(ya, yb), abs(ya - yb) if ya and yb else 99)
+                for x, p, ya, y, q, yb in zip(*[r[c + s] for s in ("_a", "_b") for c in ("title", "people", "year")])
             ]
             columns = list(zip(*levels)) if levels else [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column("rec_a"), batch.column("rec_b"), *[pa.array(c, pa.int32()) for c in columns]], names=[f.name for f in fields])
@@ -294,91 +361,114 @@ def compared(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, T.StructType(fields))
 
 
-def pairs_outside(a: DataFrame, b: DataFrame, inside: int) -> list[tuple[tuple[int, int, int], float]]:
+def pairs_outside(a: DataFrame, b: DataFrame, counted: dict[tuple[int, int, int], int]) -> list[tuple[tuple[int, int, int], float]]:
     """Level vectors of the pairs that no pass brought together, with their numbers.
 
-    Their titles differ; how many of them share a surname and how many agree in year
-    follows from counts by surname and by year over all records of both sides."""
-    size = lambda df: df.groupBy("year").count().collect()  # noqa: E731  one row per year
-    years_a, years_b = ({r["year"]: r["count"] for r in size(x)} for x in (a, b))
+    Over all pairs, the levels of year follow from the numbers of records by year, those
+    and those of authors from the numbers of records by surname and by how many authors
+    they have; the pairs that were compared are taken off.  Years are taken to be
+    independent of the rest, the titles to be OTHER ones: the few pairs of one title by
+    other people would say of the same people, wrongly, that they use a title twice."""
+    years = lambda df: {r["year"]: r["count"] for r in df.groupBy("year").count().collect()}  # noqa: E731  one row per year
+    years_a, years_b = years(a), years(b)
     total = float(sum(years_a.values())) * float(sum(years_b.values()))
-    if total <= inside:
+    if total <= sum(counted.values()):
         return []
-    by = np.zeros(LEVELS["year"])
+    by_year = np.zeros(LEVELS["year"])
     for x, n in years_a.items():
         for y, m in years_b.items():
-            by[year_level(x, y)] += float(n) * m
-    names = lambda df, c: df.select(F.explode(F.array_distinct(F.transform("persons", lambda p: p["surname"]))).alias("surname")).groupBy("surname").agg(F.count("*").cast("double").alias(c))
-    shared = names(a, "n").join(names(b, "m"), "surname").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0.0
-    share = min(1.0, shared / total)
-    rest = total - inside
-    parts = {0: 1 - share, 1: share / 2, 3: share / 2}
-    return [((0, level, y), rest * part * float(by[y]) / total) for level, part in parts.items() for y in range(len(by)) if part and by[y]]
+            by_year[year_level(x, y)] += float(n) * m / total
+    known = lambda df: df.agg(F.count_if(F.size("surnames") > 0)).first()[0]
+    both = float(known(a)) * float(known(b))
+    size = F.least(F.size("surnames"), F.lit(3))
+    names = lambda df, s: df.select(F.explode("surnames").alias("surname"), size.alias("k" + s)).groupBy("surname", "k" + s).agg(F.count("*").cast("double").alias("n" + s))
+    sharing = names(a, "_a").join(names(b, "_b"), "surname").groupBy(F.least("k_a", "k_b").alias("k")).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n")).collect()  # at most three rows
+    by_authors = np.zeros(LEVELS["authors"])
+    for row in sharing:  # one of one, of two, of more
+        by_authors[{1: 3, 2: 2}.get(row["k"], 1)] += min(row["n"], both)
+    by_authors[MISSING["authors"]] = total - both
+    by_authors[0] = max(both - by_authors[1:4].sum(), 0)
+    seen = lambda k, level: sum(n for v, n in counted.items() if v[k] == level)
+    rest = np.array([max(by_authors[k] - seen(1, k), 0.0) for k in range(LEVELS["authors"])])
+    out = [((OTHER, k, y), n * share) for k, n in enumerate(rest) for y, share in enumerate(by_year) if n * share > 0]
+    return out
+
 
+def expectation_maximisation(levels: np.ndarray, counts: np.ndarray, sizes: tuple[int, ...], rounds: int = 200, missing: tuple[int | None, ...] = ()) -> np.ndarray:
+    """Posterior match probability of each level vector."""
+    return 1 / (1 + np.exp(-log_odds(levels, counts, sizes, rounds, missing)))
 
-def expectation_maximisation(levels: np.ndarray, counts: np.ndarray, sizes: tuple[int, ...], rounds: int = 200) -> np.ndarray:
-    """Posterior match probability of each level vector.
 
-    Starts from the belief that the higher level is the likelier among matches; each
-    round weighs every vector by its current posterior and re-estimates the share of
-    matches and the level frequencies of both classes, with a small pseudo-count."""
+def log_odds(levels: np.ndarray, counts: np.ndarray, sizes: tuple[int, ...], rounds: int = 200, missing: tuple[int | None, ...] = (), most: float = np.inf) -> np.ndarray:
+    """The logarithm of the posterior odds of each level vector, by expectation-maximisation.
+
+    Starts from the belief that the higher level is the likelier among matches, and that a
+    ``missing`` one says nothing; each round weighs every vector by its current posterior and re-estimates the share of
+    matches and the level frequencies of both classes, with a small pseudo-count.  There are
+    at ``most`` so many matches, where that is known."""
     if not len(counts):
         return np.zeros(0)
+    if not counts.sum():
+        return np.full(len(counts), -500.0)
     fields = range(levels.shape[1])
     m = [np.array([4.0**k for k in range(n)]) for n in sizes]
     u = [np.array([4.0**-k for k in range(n)]) for n in sizes]
+    for x, y, level in zip(m, u, missing):
+        if level is not None:
+            x[level], y[level] = x[:level].sum() / 10, y[:level].sum() / 10
     m, u = [x / x.sum() for x in m], [x / x.sum() for x in u]
-    share, posterior = 1e-4, np.zeros(len(counts))
+    share, posterior, odds = min(1e-4, most / counts.sum()), np.zeros(len(counts)), np.zeros(len(counts))
     for _ in range(rounds):
         a, b = np.log(share), np.log1p(-share)
         la = a + sum(np.log(m[k][levels[:, k]]) for k in fields)
         lb = b + sum(np.log(u[k][levels[:, k]]) for k in fields)
-        new = 1 / (1 + np.exp(np.clip(lb - la, -500, 500)))
+        odds = np.clip(la - lb, -500, 500)
+        new = 1 / (1 + np.exp(-odds))
         if np.abs(new - posterior).max() < 1e-9:
             break
         posterior = new
-        share = float(np.clip((counts * posterior).sum() / counts.sum(), 1e-15, 1 - 1e-6))
+        share = float(np.clip(min((counts * posterior).sum(), most) / counts.sum(), 1e-15, 1 - 1e-6))
         for k, n in zip(fields, sizes):
             wm = np.bincount(levels[:, k], counts * posterior, n) + 0.01
             wu = np.bincount(levels[:, k], counts * (1 - posterior), n) + 0.01
             m[k], u[k] = wm / wm.sum(), wu / wu.sum()
-    return posterior
+    return odds
 
 
 def link_works(papers: DataFrame, entries: DataFrame, confident: float = CONFIDENT) -> DataFrame:
     """(paper_id, bib_key, confidence): the entries and the paper each is the same work as.
 
     ``papers`` has id, title, authors, year; ``entries`` has key, title, author, year.  An
-    entry has at most one paper: the most probable, then the nearest in year, then the
-    smallest id.  Records without a title match nothing; missing authors or years are a
-    level of their own, and weigh what the data show them to weigh.  A match needs the
-    confidence given, and a title or authors beyond chance: another part of a series and
-    another title are no match, nor is the same title by other people.  Where a side has no
-    authors and the years are not equal, the title must belong to one paper only.  Papers that differ
-    in nothing compared tie, so the smallest id wins; entries that differ in nothing
-    compared get the same paper; neither kind of copy is expanded into pairs.  Null and
-    repeated keys: rows with a null key are left out, full duplicates count once.  Empty
-    tables give no rows.  Other columns are not read.
+    entry has at most one paper: of those more probable than not, one whose title agrees
+    best, and of these the most probable, then the nearest in year, then the smallest id.
+    Its confidence is its odds in the sum of the odds of all papers with so good a title,
+    and of none; a match needs the confidence given.  So where nothing tells which of
+    several papers is meant there is no match.  Records without a title match
+    nothing; missing authors or years are a level of their own, and weigh what the data
+    show them to weigh.  Papers that differ in nothing compared are one, with the smallest
+    id; entries that differ in nothing compared get the same paper; neither kind of copy
+    is expanded into pairs.  Null and repeated keys: rows with a null key are left out,
+    full duplicates count once.  Empty tables give no rows.  Other columns are not read.
     """
     spark = papers.sparkSession
-    a = written(features(papers, "id", "title", "authors", "year", True), "papers")
-    b = written(features(entries, "key", "title", "author", "year", False), "entries")
-    all_a, all_b = a, b
-    a, b = written(distinct_features(a)[0], "papers"), written(distinct_features(b)[0], "entries")
-    members = distinct_features(all_b)[1]
+    all_a = written(features(papers, "id", "title", "authors", "year", True), "papers")
+    all_b = written(features(entries, "key", "title", "author", "year", False), "entries")
+    a, b = written(distinct_features(all_a), "papers"), written(distinct_features(all_b), "entries")
     levels = written(compared(a, b, candidates(a, b)), "levels")
     names = list(LEVELS)
-    counted = levels.groupBy(*names).count().collect()  # at most one row per vector of levels
-    inside = sum(r["count"] for r in counted)
+    counted = {tuple(r[n] for n in names): r["count"] for r in levels.groupBy(*names).count().collect()}  # at most one row per vector of levels
     # the pairs outside the blocks are non-matches by far; they enter as counts
-    outside = pairs_outside(all_a, all_b, inside)
-    vectors = np.array([[r[n] for n in names] for r in counted] + [v for v, _ in outside], np.int64).reshape(len(counted) + len(outside), len(names))
-    posterior = expectation_maximisation(vectors, np.array([*(float(r["count"]) for r in counted), *(n for _, n in outside)]), tuple(LEVELS.values()))[: len(counted)]
-    vectors = vectors[: len(counted)]
-    rows = [(*map(int, v), float(p)) for v, p in zip(vectors, posterior)]
-    table = spark.createDataFrame(rows, T.StructType([*[T.StructField(n, T.IntegerType()) for n in names], T.StructField("confidence", T.DoubleType())]))
+    outside = pairs_outside(a, b, counted)
+    vectors = np.array([*counted, *(v for v, _ in outside)], np.int64).reshape(-1, len(names))
+    counts = np.array([*counted.values(), *(n for _, n in outside)], float)
+    odds = log_odds(vectors, counts, tuple(LEVELS.values()), missing=tuple(MISSING.values()), most=float(b.count()))[: len(counted)]
+    rows = [(*v, float(np.exp(o))) for v, o in zip(counted, odds)]
+    table = spark.createDataFrame(rows, T.StructType([*[T.StructField(n, T.IntegerType()) for n in names], T.StructField("odds", T.DoubleType())]))
     judged = levels.join(F.broadcast(table), names)
-    matched = judged.filter((F.col("confidence") >= confident) & (F.col("title") > 0) & (F.col("authors") > 0))
-    best = without_rivals(a, matched).groupBy("rec_b").agg(F.min_by(F.struct("rec_a", "confidence"), F.struct(-F.col("confidence"), F.col("gap"), F.col("rec_a"))).alias("x"))
-    copies = best.join(members, best["rec_b"] == members["same"])
-    return copies.select(F.col("x.rec_a").alias("paper_id"), F.col("rec").alias("bib_key"), F.col("x.confidence").alias("confidence"))
+    alike = judged.groupBy("rec_b", "title").agg(F.min_by(F.struct("rec_a", "odds"), F.struct(-F.col("odds"), F.col("gap"), F.col("rec_a"))).alias("x"), F.sum("odds").alias("all")).filter("x.odds > 1")
+    best = alike.groupBy("rec_b").agg(F.max_by(F.struct("x.*", "all"), "title").alias("x")).select("rec_b", F.col("x.rec_a").alias("paper_id"), (F.col("x.odds") / (1 + F.col("x.all"))).alias("confidence"))
+    sure = best.filter(F.col("confidence") >= confident)
+    chosen = sure.join(b.select(F.col("rec").alias("rec_b"), "content"), "rec_b").join(all_b.select("rec", "content").distinct(), "content")
+    out = written(chosen.select("paper_id", F.col("rec").alias("bib_key"), "confidence"), "matches")
+    discard(all_a, all_b, a, b, levels)
+    return out

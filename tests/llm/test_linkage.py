@@ -14,14 +14,20 @@ def level(a, b):
 
 def test_titles():
     full = "Krelb: Code-Based Encryption with Hidden Policies from Local Functions"
-    assert level(full, full.upper()) == level(full, "{Krelb}: {CodeBased} Encryption -- with Hidden Policies from Local Functions (Short Paper)") == 2
-    assert level(full, "Code Based Encryption with Hidden Policies from Local Functions") == 1
-    assert level(full, full.replace("Hidden ", "")) == level(full, full.replace("Policies", "Polcies")) == level(full, full.replace("Hidden", "Truly Hidden")) == 1
-    assert level(full, full.replace("Encryption", "Enc.")) == 2 and level(full, full.replace("Policies", "Pol.")) == 1
-    assert level(full, full.replace("Hidden", "Linear")) == level(full, full + ", Part II") == level(full + " I", full + " II") == 0
-    assert level(full + ", Part 2", full + " II") == 2
-    assert level("α-Biased Proofs in Smart Cards", r"$\alpha$-biased proofs in smart cards") == 2
+    assert level(full, full.upper()) == linkage.SAME
+    assert level(full, "{Krelb}: {CodeBased} Encryption -- with Hidden Policies from Local Functions (Short Paper)") == linkage.PART
+    assert level(full, "Code Based Encryption with Hidden Policies from Local Functions") == linkage.PART
+    assert level(full, full + ", or: How I Learned to Sign") == level(full, full + " (Full Version)") == linkage.PART
+    assert level(full, full.replace("Hidden ", "")) == level(full, full.replace("Hidden", "Truly Hidden")) == level(full, full.replace("Code-Based ", "")) == linkage.MORE
+    assert level(full, full.replace("Policies", "Polcies")) == level(full, full.replace("Encryption", "Enc.")) == level(full, full.replace("Policies", "Pol.")) == linkage.SLIPS
+    assert level(full, full.replace("Code-Based Encryption", "CodeBased Enc.")) == level("Zero-Knowledge Proofs from Learning with Errors", "ZK Proofs from LWE") == linkage.SLIPS
+    assert level("A Note on " + full[7:], full[7:]) == linkage.CONTAINED and level(full, full.replace("Hidden", "Linear")) == linkage.REPLACED
+    assert level(full, full + ", Part II") == level(full + " I", full + " II") == level(full, "Fast Proofs for Local Functions") == linkage.OTHER
+    assert level(full + ", Part 2", full + " II") >= linkage.MORE
+    assert level("α-Biased Proofs in Smart Cards", r"$\alpha$-biased proofs in smart cards") == linkage.SAME
     assert level("", "x y z") == 0 and level(None, None) == 0
+    for a in (full, "x", "", "A: b (c)", "Part II", "x " * 500):
+        assert level(a, a) == (linkage.SAME if a else 0) and level(a, full) == level(full, a)
 
 
 def test_people_and_years():
@@ -91,11 +97,25 @@ def test_copies_do_not_multiply(spark):
     p = spark.createDataFrame(papers, "id string, title string, authors string, year int")
     e = spark.createDataFrame(rows, "key string, title string, author string, year string")
     features_ = linkage.features(p, "id", "title", "authors", "year", True)
-    assert linkage.distinct_features(features_)[0].count() == 61
+    assert linkage.distinct_features(features_).count() == 61
     got = {r.bib_key: r.paper_id for r in link_works(p, e).collect() if r.bib_key.startswith("C")}
     assert got == {f"C{i}": "2020/000" for i in range(300)}
 
 
+def test_blocking_against_all_pairs(spark):
+    """Of the pairs that a comparison of all records finds alike in title and authors,
+    those that some pass brings together; with small blocks too."""
+    papers, entries, _ = works(120, seed=9)
+    p = spark.createDataFrame([x[:4] for x in papers], "id string, title string, authors string, year int")
+    e = spark.createDataFrame([x[:4] for x in entries], "key string, title string, author string, year string")
+    a, b = linkage.features(p, "id", "title", "authors", "year", True), linkage.features(e, "key", "title", "author", "year", False)
+    every = linkage.compared(a, b, a.select(a["rec"].alias("rec_a")).crossJoin(b.select(b["rec"].alias("rec_b"))))
+    alike = {(r.rec_a, r.rec_b) for r in every.filter(f"title >= {linkage.MORE} AND authors >= 2").collect()}
+    for block in (1000, 3):
+        met = linkage.candidates(a, b, block).collect()
+        assert len(met) == len(set(met)) and len(alike & {tuple(r) for r in met}) >= 0.99 * len(alike) > 50
+
+
 def test_other_years(spark):
     papers, entries, _ = works()
     papers, entries = [p[:4] for p in papers], [e[:4] for e in entries]
