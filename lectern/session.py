@@ -76,6 +76,13 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(n, *columns)
 
 
+def spread_thin(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its scan has fewer partitions than there are cores, as
+    small tables have; the rows of larger ones are not moved."""
+    enough = df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism
+    return df if enough else spread(df)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Makes this package importable in the Python workers of a session that was started
     without it on their path: as a zip file handed out by Spark, once per application."""
