@@ -39,7 +39,7 @@ from lectern.session import discard, spread_thin, written
 #: Least confidence of a match.
 CONFIDENT = 0.9
 #: Longest words of a title that its keys are made of.
-TOP_WORDS = 5
+TOP_WORDS = 4
 #: Records of one key that meet in one task, of either side.
 BLOCK = 1000
 #: TeX commands for letters.
@@ -328,12 +328,13 @@ def candidates(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
     in a task of its own."""
     x = a.select(F.col("rec").alias("rec_a"), F.explode("keys").alias("key"))
     y = b.select(F.col("rec").alias("rec_b"), F.explode("keys").alias("key"))
-    parts = lambda df, n: df.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias(n))
-    both = parts(x, "is").join(parts(y, "js"), "key").filter("is > 1 OR js > 1")
+    counts = x.select("key", F.lit(1).alias("n"), F.lit(0).alias("m")).unionAll(y.select("key", F.lit(0), F.lit(1))).groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    part = lambda c: F.ceil(F.col(c) / block).cast("int")
+    hot = written(counts.filter(F.greatest("n", "m") > block).filter(F.least("n", "m") > 0).select("key", part("n").alias("is"), part("m").alias("js")), "hot")
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
-    left = x.join(both, "key", "left").select("key", F.coalesce(own("rec_a", "is"), F.lit(0)).alias("i"), every(F.col("js")).alias("j"), "rec_a")
-    right = y.join(both, "key", "left").select("key", every(F.col("is")).alias("i"), F.coalesce(own("rec_b", "js"), F.lit(0)).alias("j"), "rec_b")
+    left = x.join(hot, "key", "left").select("key", F.coalesce(own("rec_a", "is"), F.lit(0)).alias("i"), every(F.col("js")).alias("j"), "rec_a")
+    right = y.join(hot, "key", "left").select("key", every(F.col("is")).alias("i"), F.coalesce(own("rec_b", "js"), F.lit(0)).alias("j"), "rec_b")
     return left.join(right, ["key", "i", "j"]).select("rec_a", "rec_b").distinct()
 
 
