@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Letters that stand for two.
 LIGATURES = {"æ": "ae", "œ": "oe", "ß": "ss"}
 #: Letters with a stroke, which do not decompose.
-STROKES = {"ø": "o", "đ": "d", "ð": "d", "ħ": "h", "ı": "i", "ĸ": "k", "ł": "l", "ŋ": "n", "ŧ": "t", "þ": "t", "ŀ": "l", "ŉ": "n", "ſ": "s"}
+STROKES = {"ø": "o", "đ": "d", "ħ": "h", "ı": "i", "ł": "l", "ŧ": "t"}
 
 
 def _base_letters() -> dict[str, str]:

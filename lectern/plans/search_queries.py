@@ -56,14 +56,14 @@ _text("fts_phrase", '"zero knowledge proofs"', _any(" zero knowledge proofs "))
 _text("fts_phrase_prefix", '"group sig"', _any(" group sig"), prefix=True)
 _text("fts_concat", "hash + functions", _any(" hash functions "))
 _text("fts_initial", "^how to", f"(starts_with(t, ' how ') OR starts_with(a, ' how ') OR starts_with(b, ' how ') OR starts_with(c, ' how ')) AND {_any(' to ')}")
-_text("fts_near", "NEAR(signatures encryption, 4)", " OR ".join(f"regexp_matches({c}, ' (signatures (\\S+ ){{0,4}}encryption|encryption (\\S+ ){{0,4}}signatures) ')" for c in "tabc"))
+_text("fts_near", "NEAR(lattice encryption, 4)", " OR ".join(f"regexp_matches({c}, ' (lattice (\\S+ ){{0,4}}encryption|encryption (\\S+ ){{0,4}}lattice) ')" for c in "tabc"))
 _text("fts_column", "title : (random beacons)", "contains(t, ' random ') AND contains(t, ' beacons ')")
 _text("fts_columns", "{title category} : protocols", "contains(t, ' protocols ') OR contains(c, ' protocols ')")
 _text("fts_not_column", "- title : lattice", "contains(a, ' lattice ') OR contains(b, ' lattice ') OR contains(c, ' lattice ')")
 _text("fts_scope_title", "secret sharing", "(contains(t, ' secret') OR contains(a, ' secret')) AND (contains(t, ' sharing') OR contains(a, ' sharing'))", prefix=True, scope="title")
 _text("fts_author_term", "authors : chloé", f"contains(a, ' chloe ') OR contains(a, ' {names.fold_text('chloé')} ')")
 _text("fts_hyphen", "zero-knowledge", _any(" zero knowledge"), prefix=True)
-_text("fts_lower_or", "proofs or work", f"{_any(' proofs')} AND {_any(' or ')} AND {_any(' work')}", prefix=True)
+_text("fts_lower_or", "code or sessions", f"{_any(' code')} AND {_any(' or ')} AND {_any(' sessions')}", prefix=True)
 _text("fts_retry", "encryption OR signatures?", f"{_any(' encryption')} OR {_any(' signatures')}", prefix=True)
 _text("fts_filtered", "encryption", f"{_any(' encryption ')} AND year = 2020 AND date >= '2020-03-01' AND contains(lower(category), 'crypto')", year=2020, since="2020-03-01", category="CRYPTO")
 
@@ -125,6 +125,9 @@ WITH keys AS (
 ), sole AS (SELECT kind, key, min(representative) AS r FROM keys WHERE key <> '' GROUP BY kind, key HAVING count(DISTINCT representative) = 1)
 """
 _add("canonical_names", lambda s, d: byline.canonical_names(table(s, d, "author_names").select("name_id", "name"), table(s, d, "aliases")), f"{_keys} SELECT name_id, name, coalesce(s.r, k.r) AS canonical FROM author_names n LEFT JOIN sole s ON s.kind = 'stray' AND s.key = {sql.fold('n.name')} LEFT JOIN sole k ON k.kind = 'skeleton' AND k.key = {sql.skeleton(sql.fold('n.name'))}")
+_add("fold_needle", lambda s, d: byline.canonical_needles(table(s, d, "author_names").select("name_id", "name"), table(s, d, "aliases")), f"{_keys} SELECT name_id, name, {sql.fold('coalesce(s.r, k.r, n.name)')} AS needle FROM author_names n LEFT JOIN sole s ON s.kind = 'stray' AND s.key = {sql.fold('n.name')} LEFT JOIN sole k ON k.kind = 'skeleton' AND k.key = {sql.skeleton(sql.fold('n.name'))}")
+_form = "CASE WHEN len(string_split(name, ',')) = 2 AND trim(string_split(name, ',')[1]) <> '' AND trim(string_split(name, ',')[2]) <> '' THEN trim(string_split(name, ',')[2]) || ' ' || trim(string_split(name, ',')[1]) ELSE trim(name) END"
+_add("person_canonical", lambda s, d: byline.canonical_persons(table(s, d, "author_names").select("name_id", "name"), table(s, d, "aliases")), f"{_keys} SELECT name_id, name, coalesce(s.r, k.r, n.form) AS person FROM (SELECT name_id, name, {_form} AS form FROM author_names) n LEFT JOIN sole s ON s.kind = 'stray' AND s.key = {sql.fold('n.form')} LEFT JOIN sole k ON k.kind = 'skeleton' AND k.key = {sql.skeleton(sql.fold('n.form'))}")
 _bylines = f"""{_keys}, named AS (SELECT id, authors, {sql.names('authors')} AS ns FROM papers),
 parts AS (SELECT id, unnest(ns) AS name, generate_subscripts(ns, 1) AS pos FROM named),
 spelled AS (SELECT p.id, p.pos, coalesce(s.r, k.r, p.name) AS name FROM parts p LEFT JOIN sole s ON s.kind = 'stray' AND s.key = {sql.fold('p.name')} LEFT JOIN sole k ON k.kind = 'skeleton' AND k.key = {sql.skeleton(sql.fold('p.name'))}),

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from lectern.functions.names import BASE, BASE_CASED
 from lectern.functions.text import ACCENTS
 
+#: Accented letters by what they fold to, in lower case.
+LETTERS = {
+    "a": "àáâãäåāăą", "c": "çćĉċč", "d": "ďđ", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥħ", "i": "ìíîïĩīĭįı", "j": "ĵ", "k": "ķ", "l": "ĺļľł",
+    "n": "ñńņň", "o": "òóôõöøōŏő", "r": "ŕŗř", "s": "śŝşš", "t": "ţťŧ", "u": "ùúûüũūŭůűų", "w": "ŵ", "y": "ýÿŷ", "z": "źżž",
+}
+BASE = {accented: plain for plain, group in LETTERS.items() for accented in group}
+BASE_CASED = BASE | {a.upper(): b.upper() for a, b in BASE.items() if a != "ı"}
+
 
 def _pair(table: dict[str, str]) -> str:
     return f"'{''.join(table)}', '{''.join(table.values())}'"

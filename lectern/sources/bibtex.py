@@ -8,17 +8,28 @@ global: they are read first and go to the workers as a plain mapping.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import urllib.error
+import urllib.request
+from collections.abc import Callable, Iterator
+from datetime import datetime
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.session import written
+from lectern.sources.files import State
+
 FIELDS = ("title", "author", "year", "howpublished")
 #: Nesting of macros that is followed; a cycle ends there.
 DEPTH = 12
 NAME_WIDTH = 13
+#: Pieces that one entry may have been parted into; beyond it an entry counts as broken.
+MOST_PIECES = 1000
+#: The state's names for the validator of the file and the time of its last refresh.
+ETAG, REFRESHED = "bib_etag", "bib_refreshed"
 #: Macros of month names, which stay macros.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 ENTRIES = T.StructType([T.StructField(x, T.StringType()) for x in ("kind", "key", *FIELDS, "raw")])
@@ -145,8 +156,68 @@ def rebuild(raw: str, macros: dict[str, str]) -> str:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """The text between ``@`` at line starts."""
-    return spark.read.option("lineSep", "\n@").text(path).select(F.concat(F.lit("@"), F.ltrim(F.regexp_replace("value", "^@", ""))).alias("value"))
+    """The text between ``@`` at line starts; where such an ``@`` stands inside an entry's
+    braces, what was parted is joined again."""
+    raw = spark.read.option("lineSep", "\n@").text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"), F.concat(F.lit("@"), F.ltrim(F.regexp_replace("value", "^@", ""))).alias("value"))
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    count = lambda c: F.length(plain) - F.length(F.replace(plain, F.lit(c), F.lit("")))
+    opened = raw.withColumn("open", F.col("value").rlike(r"^@\s*[A-Za-z]+\s*\{") & (count("{") > count("}")))
+    if opened.filter("open").isEmpty():
+        return raw.select("value")
+    order = Window.partitionBy("file").orderBy("id")
+    placed = written(opened.withColumn("n", F.row_number().over(order)), "pieces")
+    heads = placed.filter("open").select("file", F.col("n").alias("head"), F.explode(F.sequence("n", F.col("n") + MOST_PIECES)).alias("n"))
+    runs = heads.join(placed.select("file", "n", "value"), ["file", "n"]).groupBy("file", "head").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("run"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for file, head, run in zip(*(batch.column(c).to_pylist() for c in ("file", "head", "run"))):
+                text, last = "", head
+                for part in run:
+                    text += ("\n" if text else "") + part["value"]
+                    m, last = _HEAD.search(text), part["n"]
+                    if m and _balanced(text, m.end() - 1) > 0:
+                        break
+                else:
+                    text, last = run[0]["value"], head  # its braces never close
+                out.append((file, head, last, text))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["file", "head", "last", "value"])
+
+    joined = written(runs.mapInArrow(join, "file string, head int, last int, value string"), "joined")
+    inner = joined.select("file", F.explode(F.sequence("head", "last")).alias("n"), F.col("head")).groupBy("file", "n").agg(F.min("head").alias("owner"))
+    whole = joined.join(inner.select("file", F.col("n").alias("head"), "owner"), ["file", "head"]).filter("owner = head").select("value")
+    return placed.join(inner, ["file", "n"], "left_anti").select("value").unionByName(whole)
+
+
+def download(url: str, path: str, etag: str | None = None, opener: Callable | None = None) -> tuple[bool, str | None]:
+    """(whether there was something new, its validator): fetches a BibTeX file in chunks
+    into ``path``, unless the server says that it is as ``etag`` names it.  Bytes that are
+    no UTF-8 are kept for the reader to replace; a failure leaves the old file."""
+    request = urllib.request.Request(url, headers={"If-None-Match": etag} if etag else {})
+    try:
+        answer = (opener or urllib.request.urlopen)(request)
+    except urllib.error.HTTPError as error:
+        if error.code == 304:
+            return False, etag
+        raise
+    with answer:
+        if getattr(answer, "status", 200) == 304:
+            return False, etag
+        draft = Path(f"{path}.new")
+        with draft.open("wb") as out:
+            while chunk := answer.read(1 << 16):
+                out.write(chunk)
+        draft.replace(path)
+        return True, answer.headers.get("ETag")
+
+
+def refresh(url: str, path: str, state: State, rows: int, now: datetime, force: bool = False, opener: Callable | None = None) -> bool:
+    """Brings the file up to date and says whether it changed.  The validator is sent only
+    where there is a table to keep (``rows`` > 0) and nothing forces a download."""
+    changed, etag = download(url, path, state.get(ETAG) if rows and not force else None, opener)
+    state.set({REFRESHED: now.isoformat()} | ({ETAG: etag} if etag else {}))
+    return changed
 
 
 def read_macros(spark: SparkSession, path: str) -> dict[str, str]:

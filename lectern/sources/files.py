@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Mapping
 from pathlib import Path
 
@@ -10,24 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.biblio import split_id
+from lectern.operators import cdc
 from lectern.operators.watch import Watch, parse_watch
 
 #: Settings that are numbers above zero, and those that are text.
 NUMBERS = ("limit", "feed_floor")
 TEXTS = ("scope", "favourite", "pager", "theme")
+_COMMENT = re.compile(r"(?:^|(?<=\s))#.*")
 
 
 def parse_config(text: str) -> tuple[dict[str, object], list[Watch]]:
-    """Settings and watches of ``key = value`` lines.  ``#`` starts a comment; watches
-    repeat; unknown keys and numbers that are none, or zero, are ignored."""
+    """Settings and watches of ``key = value`` lines.  ``#`` starts a comment, in a watch
+    only after white space and not after a backslash, which it loses; watches repeat;
+    unknown keys and numbers that are none, or zero, are ignored."""
     settings: dict[str, object] = {}
     watches: list[Watch] = []
     for line in text.splitlines():
+        whole = line
         key, eq, value = (x.strip() for x in line.partition("#")[0].partition("="))
         if not eq:
             continue
         if key == "watch":
-            watch = parse_watch(value)
+            watch = parse_watch(_COMMENT.sub("", whole.partition("=")[2]).replace("\\#", "#").strip())
             watches += [watch] if watch else []
         elif key in NUMBERS and value.isdigit() and int(value):
             settings[key] = int(value)
@@ -39,7 +45,7 @@ def parse_config(text: str) -> tuple[dict[str, object], list[Watch]]:
 def set_watches(text: str, watches: list[Watch]) -> str:
     """The configuration with these watches in place of its own; other lines stay."""
     kept = [line for line in text.splitlines() if line.partition("=")[0].strip() != "watch"]
-    return "\n".join([*kept, *(f"watch = {w.label()}" for w in watches)]) + "\n"
+    return "\n".join([*kept, *("watch = " + w.label().replace("#", "\\#") for w in watches)]) + "\n"
 
 
 class State:
@@ -82,7 +88,27 @@ def json_rows(papers: DataFrame) -> DataFrame:
 
 
 def replace_all(df: DataFrame, path: str) -> None:
-    """Overwrites a table as a whole, but never with nothing."""
+    """Replaces a table as a whole, but never with nothing.  The new table is complete
+    before it takes the old one's place; a run that is lost leaves the old one."""
     if df.isEmpty():
         raise ValueError("there is nothing to write; the table stays as it is")
-    df.write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    draft, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.parquet(draft)
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(name)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = fs.exists(at(path))
+    if there and not fs.rename(at(path), at(old)):
+        raise OSError(f"cannot move {path}")
+    if not fs.rename(at(draft), at(path)):
+        raise OSError(f"cannot move {draft}")
+    if there:
+        fs.delete(at(old), True)
+
+
+def replace_published(df: DataFrame, folder: str) -> str:
+    """The same for a published table (``cdc.publish``), where readers see the old table
+    or the new one at every moment."""
+    if df.isEmpty():
+        raise ValueError("there is nothing to write; the table stays as it is")
+    return cdc.publish(df, folder)

@@ -19,7 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lectern.sources.files import State
+
 ATTEMPTS, LONGEST_WAIT, PAUSE = 4, 30.0, 0.2
+#: The state's name for the server's time of the last harvest.
+LAST_HARVEST = "last_harvest"
 _LISTS = {"creators": "creator", "descriptions": "description", "subjects": "subject", "dates": "date", "identifiers": "identifier"}
 _TEXTS = T.ArrayType(T.StringType())
 RECORD = T.StructType([T.StructField(x, T.StringType()) for x in ("op", "id", "datestamp", "title", "rights")] + [T.StructField(x, _TEXTS) for x in _LISTS])
@@ -35,7 +39,13 @@ def url_quote(text: str) -> str:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """The records of saved pages in the shape of the change feed: the last title and
-    rights, all values of the other elements, ``op`` from the header's status."""
+    rights, all values of the other elements, ``op`` from the header's status.  A page
+    that says nothing matches is empty; a page with any other error is raised, before
+    anything is read."""
+    errors = spark.read.format("xml").option("rowTag", "error").option("ignoreNamespace", "true").schema("_code string, _VALUE string").load(path)
+    wrong = errors.filter(F.coalesce("_code", F.lit("")) != "noRecordsMatch").first()
+    if wrong is not None:
+        raise RuntimeError(f"the server says: {(wrong['_VALUE'] or wrong['_code'] or '').strip()}")
     raw = spark.read.format("xml").option("rowTag", "record").option("ignoreNamespace", "true").schema(_XML).load(path)
     dc = F.col("metadata.dc")
     last = lambda name: F.when(F.size(dc[name]) > 0, F.trim(F.element_at(dc[name], -1)))
@@ -111,6 +121,20 @@ def pages(base: str, since: str | None = None, opener: Callable[[str], str] | No
         sleep(PAUSE)
 
 
+def harvest(base: str, state: State, keep: Callable[[list[tuple]], None], full: bool = False, opener: Callable[[str], str] | None = None, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Hands every page's records to ``keep`` and returns their number.  Starts from the
+    time the server gave at the last harvest; the time of this one's first page is stored
+    after the last page, so a harvest that fails is repeated."""
+    began, n = None, 0
+    for k, (records, response) in enumerate(pages(base, None if full else state.get(LAST_HARVEST), opener, sleep)):
+        began = response if not k else began
+        keep(records)
+        n += len(records)
+    if began:
+        state.set({LAST_HARVEST: began})
+    return n
+
+
 class OaiReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.base, self.since = options["url"], options.get("from")

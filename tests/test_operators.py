@@ -153,3 +153,34 @@ def test_lookups(spark):
     assert query.newest(p).first().id == "2"
     files = spark.createDataFrame([("1", "x"), ("9", "y")], "id string, name_title string")
     assert {r.title for r in query.titled(files, p).collect()} == {"A", "y"}
+
+
+def test_canonical_bylines_by_map_and_by_join(spark, monkeypatch):
+    from lectern.operators import byline
+
+    papers = spark.createDataFrame([("1", "Ana  Dorn; b fox ;; Zed Zorn"), ("1", "Ana  Dorn; b fox ;; Zed Zorn"), ("2", "Ana Dorn Bo Fox; X Y"), ("3", ""), ("4", None), ("5", "Anadorn")], "id string, authors string")
+    aliases = spark.createDataFrame([("Ana Dorn", None), ("Bo Fox", "b fox"), ("Bo Fox", "robert fox")], "representative string, stray string")
+    merged = {"ana dorn bo fox": "Anadorn; robert fox"}
+    want = sorted([("1", "Ana Dorn; Bo Fox; Zed Zorn"), ("1", "Ana Dorn; Bo Fox; Zed Zorn"), ("2", "Ana Dorn; Bo Fox; X Y"), ("3", ""), ("4", None), ("5", "Ana Dorn")], key=str)
+    run = lambda p, m=merged: sorted(((r.id, r.canonical) for r in byline.canonical_bylines(p, aliases, merged=m).collect()), key=str)
+    assert run(papers) == want
+    again = spark.createDataFrame(run(papers), "id string, authors string")
+    assert run(again, None) == want
+    assert byline.canonical_bylines(papers.limit(0), aliases.limit(0)).count() == 0
+    monkeypatch.setattr(byline.AliasTable, "of", classmethod(lambda cls, aliases, most=0: None))
+    assert run(papers) == want
+
+
+def test_needles_and_person_forms(spark):
+    from lectern.functions.names import author_match
+    from lectern.operators import byline
+
+    aliases = spark.createDataFrame([("Yara Kolm", "yara tauber kolm"), ("Yara Kolm", "y kolmova"), ("Bo Fox", None)], "representative string, stray string")
+    table = byline.AliasTable.of(aliases)
+    assert byline.AliasTable.of(aliases, most=2) is None
+    assert table.needle("Yara Tauber Kolm") == "Yara Kolm" and table.needle("kolm") == "kolm" and table.person("Kolmova, Y.") == "Yara Kolm" and table.person(" Zorn , Zed") == "Zed Zorn"
+    papers = spark.createDataFrame([("1", "Yara Kolm; Zed Zorn")], "id string, authors string")
+    assert papers.filter(author_match("authors", table.needle("Yara Tauber Kolm"))).count() == 1 and papers.filter(author_match("authors", "Yara Tauber Kolm")).count() == 0
+    names = spark.createDataFrame([(1, "Yara Tauber Kolm"), (2, "Kolmova, Y."), (3, "a, b, c"), (4, " BoFox "), (5, None)], "name_id int, name string")
+    assert {r.name_id: r.needle for r in byline.canonical_needles(names, aliases).collect()} == {1: "yara kolm", 2: "kolmova y", 3: "a b c", 4: "bo fox", 5: None}
+    assert {r.name_id: r.person for r in byline.canonical_persons(names, aliases).collect()} == {1: "Yara Kolm", 2: "Yara Kolm", 3: "a, b, c", 4: "Bo Fox", 5: None}

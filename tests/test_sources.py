@@ -129,3 +129,89 @@ def test_shared_folder(spark):
     session.clear(spark)
     assert not folder.exists()
     assert session.spread(df).rdd.getNumPartitions() == 8
+
+
+def test_entry_with_an_at_sign_at_a_line_start(spark, tmp_path):
+    text = (
+        "@article{a1,\n  title = {One},\n  note = {mail\n@home or\n@work{x} now},\n  year = 2001\n}\n"
+        "@misc{broken, title = {never closed\n"
+        "@book{b2, title = {Two}, author = {A \\{ B}}\n@misc(c3, title = \"Three\")\n"
+    )
+    (tmp_path / "x.bib").write_text(text)
+    (tmp_path / "y.bib").write_text("@misc{d4, title = {Four}}\n@misc{e5, title = {Fi\n@ve}}\n")
+    got = {r.key: (r.title, r.year) for r in bibtex.read_bibtex(spark, str(tmp_path / "*.bib")).collect()}
+    assert got == {"a1": ("One", "2001"), "b2": ("Two", ""), "c3": ("Three", ""), "d4": ("Four", ""), "e5": ("Fi\n@ve", "")}
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "z.bib").write_text("")
+    assert bibtex.read_bibtex(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_refresh_asks_only_for_what_is_new(tmp_path):
+    import io
+    import urllib.error
+    from datetime import datetime
+
+    asked = []
+
+    class Answer(io.BytesIO):
+        status, headers = 200, {"ETag": "v2"}
+
+    def opener(request):
+        asked.append(request.headers.get("If-none-match"))
+        if asked[-1] == "v2":
+            raise urllib.error.HTTPError(request.full_url, 304, "same", {}, None)
+        return Answer(b"@misc{a, title = {A}}")
+
+    state, target, now = files.State(str(tmp_path / "s.json")), str(tmp_path / "x.bib"), datetime(2025, 1, 1)
+    refresh = lambda rows, force=False: bibtex.refresh("http://x/y.bib", target, state, rows, now, force, opener)
+    assert refresh(0) and not refresh(5) and refresh(0) and refresh(5, force=True)
+    assert asked == [None, "v2", None, None] and state.get(bibtex.REFRESHED) == "2025-01-01T00:00:00"
+    assert (tmp_path / "x.bib").read_text().startswith("@misc")
+
+
+def test_pages_with_an_error(spark, tmp_path):
+    page = '<OAI-PMH><responseDate>2025-01-0{}T00:00:00Z</responseDate>{}</OAI-PMH>'
+    (tmp_path / "none.xml").write_text(page.format(1, '<error code="noRecordsMatch">nothing</error>'))
+    assert oai.read_pages(spark, str(tmp_path / "none.xml")).count() == 0
+    (tmp_path / "bad.xml").write_text(page.format(1, '<error code="badResumptionToken">expired</error>'))
+    with pytest.raises(RuntimeError, match="expired"):
+        oai.read_pages(spark, str(tmp_path))
+
+
+def test_harvest_stores_the_first_pages_time(tmp_path):
+    record = "<record><header><identifier>oai:x:2025/{}</identifier></header><metadata><dc><title>t</title></dc></metadata></record>"
+    page = "<OAI-PMH><responseDate>2025-01-0{}T00:00:00Z</responseDate><ListRecords>{}{}</ListRecords></OAI-PMH>"
+    answers = [page.format(3, record.format(1), "<resumptionToken>n</resumptionToken>"), page.format(4, record.format(2), "")]
+    state, kept, asked = files.State(str(tmp_path / "s.json")), [], []
+
+    def opener(url):
+        asked.append(url)
+        return answers[len(asked) - 1]
+
+    assert oai.harvest("http://x", state, kept.extend, opener=opener, sleep=lambda _: None) == 2 and len(kept) == 2
+    assert state.get(oai.LAST_HARVEST) == "2025-01-03T00:00:00Z"
+    answers[:] = [page.format(5, "", "<resumptionToken>n</resumptionToken>"), '<OAI-PMH><error code="x">down</error></OAI-PMH>']
+    asked.clear()
+    with pytest.raises(RuntimeError):
+        oai.harvest("http://x", state, kept.extend, opener=opener, sleep=lambda _: None)
+    assert "from=2025-01-03T00%3A00%3A00Z" in asked[0] and state.get(oai.LAST_HARVEST) == "2025-01-03T00:00:00Z"
+
+
+def test_watches_with_a_number_sign():
+    watches = [Watch("c# lattice"), Watch("proof #1", "Ana Dorn"), Watch(r"a \# b"), Watch("#x")]
+    assert files.parse_config(files.set_watches("", watches))[1] == watches
+    assert files.parse_config("watch = c# lattice # mine\n")[1] == [Watch("c# lattice")]
+
+
+def test_replacing_tables(spark, tmp_path):
+    from lectern.operators import cdc
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "n int, s string")
+    path, folder = f"{tmp_path}/t", f"file://{tmp_path}/p"
+    files.replace_all(df, path)
+    files.replace_all(spark.read.parquet(path).filter("n = 1"), path)  # what it reads is replaced last
+    assert [r.n for r in spark.read.parquet(path).collect()] == [1] and [p.name for p in tmp_path.iterdir()] == ["t"]
+    files.replace_published(df, folder)
+    with pytest.raises(ValueError):
+        files.replace_published(df.limit(0), folder)
+    assert cdc.current(spark, folder).count() == 2
