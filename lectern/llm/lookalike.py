@@ -2,14 +2,14 @@
 
 A look-alike mapping in SQL brings a value to ordinary characters: what cannot be seen
 goes, odd spaces, hyphens, widths and ligatures become plain, letters of another script
-inside a word become letters of the word's script.  Mapped values are then grouped under
-an accent-sensitive Unicode collation, for which composed and decomposed accents are one;
-every class gets a deterministic canonical member, and the member is joined back.
+inside a word become letters of the word's script.  Accents stay as they were typed: mapped
+values are grouped under an accent-sensitive Unicode collation, for which composed and
+decomposed accents are one, together with the composed form of each; every class gets a
+deterministic canonical member, and the member is joined back.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.characters import ALIKE, ARMENIAN_ALIKE, CYRILLIC_ALIKE, GREEK_ALIKE, INVISIBLE, LATIN_ALIKE, ODD_HYPHENS, ODD_SPACES
+from lectern.session import written
 
 #: Values of these characters only are ordinary as they stand.
 PLAIN = r"^[\x09\x0A\x0D\x20-\x7EÀ-ɏ]*\z"
@@ -27,6 +28,8 @@ FOREIGN = CYRILLIC_ALIKE | GREEK_ALIKE | ARMENIAN_ALIKE
 #: Latin letters drawn like a Cyrillic one, for words that are Cyrillic otherwise.
 TO_CYRILLIC = {b: a for a, b in reversed(CYRILLIC_ALIKE.items()) if b.isascii()}
 WIDE = {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)}
+#: Half-width kana and what they stand for; sound marks become combining ones.
+HALF_KANA = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF61, 0xFFA0)}
 WIDE_LETTERS = {a: b for a, b in WIDE.items() if b.isalnum()}
 SCRIPTS = r"\p{IsCyrillic}\p{IsGreek}\p{IsArmenian}"
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
@@ -48,9 +51,8 @@ def _set(letters) -> str:
 
 @F.pandas_udf(T.StringType())
 def compose(values: pd.Series) -> pd.Series:
-    """Composed accents, and half-width kana of ordinary width."""
-    half = re.compile("[｡-ﾟ]+")
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", half.sub(lambda m: unicodedata.normalize("NFKC", m[0]), v)))
+    """Composed accents."""
+    return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
 def ordinary(value: Column) -> Column:
@@ -59,7 +61,7 @@ def ordinary(value: Column) -> Column:
     seen = F.regexp_replace(seen, rf"(?<![{JOINED}])[\x{{200C}}\x{{200D}}]|(?<![\p{{So}}\p{{Sk}}\x{{D800}}-\x{{DFFF}}\x{{23}}\x{{2A}}0-9\x{{203C}}-\x{{3299}}])\x{{FE0F}}", "")
     asian = seen.rlike(f"[{CJK}]")
     spaced = F.regexp_replace(seen, r"[\x{2028}\x{2029}\x{85}]", "\n")
-    spaced = _translate(spaced, {chr(c): " " for c in ODD_SPACES if c != 0x3000} | {chr(c): "-" for c in ODD_HYPHENS if c != 0xFF0D} | WIDE_LETTERS)
+    spaced = _translate(spaced, {chr(c): " " for c in ODD_SPACES if c != 0x3000} | {chr(c): "-" for c in ODD_HYPHENS if c != 0xFF0D} | WIDE_LETTERS | HALF_KANA)
     plain = F.when(asian, spaced).otherwise(_translate(spaced, {"　": " "} | WIDE))
     for ligature, letters in LIGATURES.items():
         plain = F.replace(plain, F.lit(ligature), F.lit(letters))
@@ -85,10 +87,10 @@ def ordinary(value: Column) -> Column:
 def canonical_values(rows: DataFrame, value: str = "value", salts: int = 8) -> DataFrame:
     """``rows`` with a column ``canonical``: the one form of ``value``.
 
-    Equal-looking values get the same canonical form.  Of a class of values equal under
-    the collation the canonical member is the one that needs no change, the shortest and
-    then the smallest of several; where every member needs one, the mapped form.  Values
-    of ordinary characters stay as they are and are not joined.  Null stays null, '' stays
+    Equal-looking values get the same canonical form.  A class holds the mapped forms that
+    are equal under the collation, the composed form of each, and the ordinary values
+    equal to them; its canonical member is the one of the fewest characters, then bytes,
+    then the smallest.  Values of ordinary characters stay as they are and are not joined.  Null stays null, '' stays
     ''.  Repeated rows stay.  Other columns pass through; ``_``-prefixed names are used
     inside and must not occur in ``rows``.  The join back is salted, so one value may be
     held by any share of the rows.
@@ -96,12 +98,17 @@ def canonical_values(rows: DataFrame, value: str = "value", salts: int = 8) -> D
     plain = F.col(value).rlike(PLAIN) | F.col(value).isNull()
     odd = rows.filter(~plain).withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     # one row per different value, each mapped once
-    odd_values = odd.select(value).distinct().withColumn("_mapped", compose(ordinary(F.col(value))))
-    plain_values = rows.filter(plain & F.col(value).isNotNull()).select(value).distinct().withColumn("_mapped", F.col(value))
-    members = odd_values.unionByName(plain_values).withColumn("_class", F.collate("_mapped", "UNICODE"))
-    order = F.struct(F.col(value) != F.col("_mapped"), F.length("_mapped"), F.col("_mapped"))
-    classes = members.groupBy("_class").agg(F.min_by("_mapped", order).alias("canonical"), F.max(~F.col(value).rlike(PLAIN)).alias("_any"))
-    named = odd_values.withColumn("_class", F.collate("_mapped", "UNICODE")).join(classes.filter("_any").select("_class", "canonical"), "_class")
+    mapped = written(odd.select(value).distinct().withColumn("_mapped", ordinary(F.col(value))), "mapped")
+    under = F.collate("_mapped", "UNICODE")
+    odd_members = mapped.select(F.explode(F.array_distinct(F.array("_mapped", compose("_mapped")))).alias("_mapped"))
+    odd_members = written(odd_members.distinct(), "members").withColumn("_class", under)
+    # of the ordinary values only those of such a class count; how they are found depends on the size of the table just written
+    plain_members = rows.filter(plain & F.col(value).isNotNull()).select(F.col(value).alias("_mapped")).withColumn("_class", under)
+    plain_members = plain_members.join(odd_members.select(F.col("_class").alias("_wanted")), F.col("_class") == F.col("_wanted"), "left_semi")
+    members = odd_members.select("_mapped", "_class").unionByName(plain_members.select("_mapped", "_class"))
+    order = F.struct(F.length("_mapped"), F.octet_length("_mapped"), F.col("_mapped"))
+    classes = members.groupBy("_class").agg(F.min_by("_mapped", order).alias("canonical"))
+    named = mapped.withColumn("_class", under).join(classes, "_class")
     salted = named.select(F.col(value).alias("_value"), "canonical").withColumn("_at", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     joined = odd.join(salted, (odd[value] == salted["_value"]) & (odd["_salt"] == salted["_at"]))
     out = joined.select(*[odd[c] for c in rows.columns], "canonical")
