@@ -10,10 +10,12 @@ the offsets of a list array, which is flattened with the parents' ordinals.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -51,30 +53,32 @@ def _any(mask: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return total[edges[1:]] > total[edges[:-1]]
 
 
-def _classify(text: str) -> int:
-    """What a comma-free part of a segment can be."""
-    text = text.strip()
-    if not text:
-        return BLANK
-    if (text[0], text[-1]) in (('"', '"'), ("{", "}")):
-        return CLOSED
-    words = text.lower().split()
-    if len(words) == 1:
-        return SUFFIX if words[0] in SUFFIXES else LONE
-    written = text.split()
-    if written[-1][:1].isupper() and all(w[:1].islower() for w in written[:-1]):
-        return SURNAME  # particles, be they misspelt
-    if words[0] in PARTICLES:
-        bare = sum(w not in PARTICLES for w in words)
-        return SURNAME if bare < 2 else FULL
-    if all(w.endswith(".") or len(w) == 1 for w in words):
-        return LONE
-    return FULL
-
-
-def _initials(text: str) -> bool:
-    words = text.split()
-    return bool(words) and all(w.endswith(".") or len(w) == 1 for w in words)
+_SPACE_SET = "[" + "".join(f"\\x{{{c:X}}}" for c in SPACES) + "]"
+_ALTERNATIVES = "(?:" + "|".join(re.escape(p) for p in sorted(PARTICLES)) + ")"
+#: A surname: lower-case words, then one that is not; or particles and at most one word more.
+_CASED = r"^(?:\p{Ll}\S* )+\p{Lu}\S*$"
+_WITH_PARTICLES = rf"^{_ALTERNATIVES}(?: {_ALTERNATIVES})*(?: \S+(?: {_ALTERNATIVES})*)?$"
+_ONLY_INITIALS = r"^(?:(?:\S|\S*\.) )*(?:\S|\S*\.)$"
+_OTHERS = r"(?i)[\s,]+et al\.?$"
+
+
+def _classify(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What each comma-free part of a segment can be, and whether it is initials only."""
+    text = pc.utf8_trim_whitespace(pc.replace_substring_regex(parts, _SPACE_SET + "+", " "))
+    low = pc.utf8_lower(text)
+    match = lambda a, pattern: pc.match_substring_regex(a, pattern).to_numpy(zero_copy_only=False)
+    empty = pc.equal(text, "").to_numpy(zero_copy_only=False)
+    lone, initials = ~match(text, " ") & ~empty, match(text, _ONLY_INITIALS) & ~empty
+    kind = np.full(len(parts), FULL)
+    kind[initials] = LONE
+    particle = match(low, rf"^{_ALTERNATIVES} ")
+    kind[particle] = FULL
+    kind[(particle & match(low, _WITH_PARTICLES)) | match(text, _CASED)] = SURNAME
+    kind[lone] = LONE
+    kind[lone & pc.is_in(low, pa.array(sorted(SUFFIXES))).to_numpy(zero_copy_only=False)] = SUFFIX
+    kind[match(text, r'(?s)^".*"$|^\{.*\}$')] = CLOSED
+    kind[empty] = BLANK
+    return kind, initials
 
 
 def split_column(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, pa.StringArray]:
@@ -128,19 +132,15 @@ def split_column(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, pa.Strin
     opens = np.ones(len(begin), bool)  # starts a segment (not after a comma)
     inner = begin > edges[:-1][row[begin]]
     opens[inner] = ~comma[begin[inner] - 1]
-    texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(at[begin].tolist(), at[end].tolist())] if comma.any() else None
-
     keep = opens.copy()  # starts a name
-    if texts is not None:
+    if comma.any():
         several = np.zeros(len(begin), bool)
         segment = np.cumsum(opens) - 1
         size = np.bincount(segment)
         several = size[segment] > 1
         index = np.flatnonzero(several)
-        kind = np.full(len(begin), FULL)
-        kind[index] = [_classify(texts[i]) for i in index.tolist()]
-        initial = np.zeros(len(begin) + 1, bool)
-        initial[index] = [_initials(texts[i]) for i in index.tolist()]
+        kind, initial = np.full(len(begin), FULL), np.zeros(len(begin) + 1, bool)
+        kind[index], initial[index] = _classify(_slices(data, at[begin[index]], at[end[index]]))
         first = np.flatnonzero(opens)
         # 1: a surname waits for its given names; 2: a full name that a lone word may complete
         wait = np.zeros(len(first), np.int64)
@@ -172,28 +172,21 @@ def split_column(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, pa.Strin
         if not whole.any():
             break
     a, b = _trim(a, b, space, n)
-    alive = b > a
-    short = np.flatnonzero(alive & (b - a <= 10))
-    for i in short.tolist():
-        if data[at[a[i]] : at[b[i]]].decode("utf-8", "replace").lower() in UNNAMED:
-            alive[i] = False
-    # "X et al.": the name ends before the words for the others
-    if b" al" in data.lower():
-        for i in np.flatnonzero(alive).tolist():
-            name = data[at[a[i]] : at[b[i]]].decode("utf-8", "replace")
-            for tail in (" et al.", " et al"):
-                if name.lower().endswith(tail):
-                    b[i] -= len(tail)
-                    break
-        a, b = _trim(a, b, space | (points == 44), n)
-        alive &= b > a
-    a, b, owner = a[alive], b[alive], owner[alive]
-    s, e = at[a], at[b]
-    size = e - s
-    at_ = np.concatenate([[0], np.cumsum(size)])
-    flat = np.frombuffer(data, np.uint8)[np.repeat(s - at_[:-1], size) + np.arange(at_[-1])]
-    names = pa.StringArray.from_buffers(len(s), pa.py_buffer(at_.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes()))
-    return np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))]), names
+    some = b > a
+    a, b, owner = a[some], b[some], owner[some]
+    # "X et al.": the name ends before the words for the others; those alone are no name
+    names = pc.replace_substring_regex(_slices(data, at[a], at[b]), _OTHERS, "")
+    names = pc.utf8_trim(names, "".join(map(chr, SPACES)))
+    named = ~pc.is_in(pc.utf8_lower(names), pa.array(sorted({*UNNAMED, ""}))).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(np.bincount(owner[named], minlength=rows))]), names.filter(pa.array(named))
+
+
+def _slices(data: bytes, starts: np.ndarray, ends: np.ndarray) -> pa.StringArray:
+    """Stretches of a text's bytes as a string array, copied in one pass."""
+    size = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    flat = np.frombuffer(data, np.uint8)[np.repeat(starts - offsets[:-1], size) + np.arange(offsets[-1])]
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes()))
 
 
 def _trim(a: np.ndarray, b: np.ndarray, blank: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
