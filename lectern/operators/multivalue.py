@@ -17,9 +17,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.arrowtext import code_points, text_chunks
+from lectern.session import written
 
 #: Characters that always part values outside quotes and braces.
 STRONG = ";|/"
@@ -215,6 +217,17 @@ def _encloses(text: str) -> bool:
     return False
 
 
+def _once(pairs: DataFrame) -> DataFrame:
+    """Rows of two columns without repetitions.  Only keys and fingerprints of the values
+    are shuffled to find what is repeated; the values of those rows alone are compared."""
+    key, value = (F.col(f"`{c}`") for c in pairs.columns)
+    marked = pairs.select(key.alias("k"), value.alias("v"), F.xxhash64(value).alias("h"))
+    repeated = written(marked.groupBy("k", "h").count().filter("count > 1").select(F.col("k").alias("_k"), F.col("h").alias("_h")), "repeated")
+    same = F.col("k").eqNullSafe(F.col("_k")) & (F.col("h") == F.col("_h"))
+    some = marked.join(repeated, same, "left_semi").select("k", "v").distinct()
+    return marked.join(repeated, same, "left_anti").select("k", "v").union(some).toDF(*pairs.columns)
+
+
 def split_values(df: DataFrame, key_column: str, value_column: str, key_name: str | None = None, name: str = "name") -> DataFrame:
     """(key, ``pos`` from 1, ``name``): one row per value packed in ``value_column``.
 
@@ -228,7 +241,7 @@ def split_values(df: DataFrame, key_column: str, value_column: str, key_name: st
     in key and field count once; a null key stays null.  Other columns are not read.
     """
     key_name = key_name or key_column
-    source = df.select(key_column, value_column).distinct()
+    source = _once(df.select(key_column, value_column))
     schema = T.StructType([T.StructField(key_name, source.schema[key_column].dataType), T.StructField("pos", T.LongType()), T.StructField(name, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
