@@ -62,7 +62,8 @@ def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    pieces = split.split_documents(table(spark, d, "documents"), oversized_only=True, with_text=False)
+    """The documents that :func:`split.split_documents` cuts; each has a first piece."""
+    pieces = split.split_documents(table(spark, d, "documents"), oversized_only=True)
     return pieces.filter(F.col("piece") == 1).select("doc_id")
 
 

@@ -5,8 +5,8 @@ natural boundary (blank line, line end, sentence end) the words of the sentences
 are compared with those of the sentences after (cosine of their counts); a low value
 between two high ones is a valley, its depth is the sum of both climbs.  Going through
 the text, the deepest valley within reach of the size limit becomes the cut, and the next
-piece starts a fixed number of tokens before it.  Where a window holds no natural
-boundary the last word start in it is taken, where it holds no word start the last token
+piece starts a fixed number of tokens before it.  Where only the first half of a window
+holds a natural boundary its last one is taken, where the window holds none the last word start in it is taken, where it holds no word start the last token
 that starts a character.
 """
 
@@ -30,7 +30,10 @@ BLOCK = 5
 SECTION = 256
 #: A token of fewer bytes (its leading space included) is no content word.
 CONTENT_BYTES = 4
-NATURAL = re.compile(rb"\r?\n[ \t]*(?:\r?\n\s*)+|\r?\n\s*|(?:[.!?]|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)[\"')\]]*(?:[ \t]+|(?<=[\x80-\xff]))")
+#: Line ends: LF, CR LF, a lone CR, and the separators of lines and paragraphs.
+_END = rb"(?:\r\n|\n|\r|\xe2\x80[\xa8\xa9])"
+NATURAL = re.compile(_END + rb"[ \t]*(?:" + _END + rb"\s*)+|" + _END + rb"\s*|(?:[.!?]|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)[\"')\]]*(?:[ \t]+|(?<=[\x80-\xff]))")
+_ENDS = re.compile(_END)
 KINDS = ("token", "word", "line", "sentence", "paragraph")
 TOKEN, WORD, LINE, SENTENCE, PARAGRAPH = range(5)
 
@@ -42,8 +45,8 @@ def boundaries(data: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for m in NATURAL.finditer(data):
         a, b = m.span()
         first = data[a : a + 1]
-        if first in b"\r\n":
-            kinds.append(PARAGRAPH if data.count(b"\n", a, b) > 1 else LINE)
+        if first in b"\r\n\xe2":
+            kinds.append(PARAGRAPH if first == b"\xe2" and data[a + 2] == 0xA9 or len(_ENDS.findall(data, a, b)) > 1 else LINE)
             spots.append((a, b))
         else:
             kinds.append(SENTENCE)
@@ -115,6 +118,9 @@ def cuts(data: bytes, ids: np.ndarray, opens: np.ndarray, sizes: np.ndarray, lim
         # a piece is at least half full, so that a text has at most about twice the pieces it needs
         low = start + max(limit // 2, overlap + 1)
         a, b = np.searchsorted(gaps, [low, stop + 1])
+        if a == b:  # rather a short piece than a cut inside a sentence: the last boundary there is
+            first, b = np.searchsorted(gaps, [start + overlap + 1, stop + 1])
+            a = max(first, b - 1)
         if a < b:
             k = a + int(np.lexsort((gaps[a:b], kinds[a:b], np.round(deep[a:b], 9)))[-1])
             end, kind = int(gaps[k]), int(kinds[k])

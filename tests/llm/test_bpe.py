@@ -133,3 +133,12 @@ def test_sections_agree(encoder):
         assert np.allclose(whole, split.cohesion(ids, sizes, gaps), atol=1e-5)
     finally:
         split.SECTION = old
+
+
+def test_line_ends_and_early_boundaries(spark, encoder):
+    for end, kind in (("\n", "line"), ("\r", "line"), ("\r\n", "line"), (chr(0x2028), "line"), (chr(0x2029), "paragraph"), ("\r\r", "paragraph"), ("\n \n", "paragraph")):
+        # the only natural boundary stands in the first half of what a piece may hold
+        text = "word " * 300 + "end" + end + "more " * 1500
+        rows = split.split_documents(spark.createDataFrame([(1, text)], "doc_id int, text string")).orderBy("piece").collect()
+        assert rows[0].boundary == kind and rows[0].text.rstrip().endswith("end") and all(r.boundary == "word" for r in rows[1:-1]), (end, rows[0].boundary)
+        assert all(r.end_token - r.first_token <= split.LIMIT for r in rows)
