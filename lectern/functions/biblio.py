@@ -156,7 +156,7 @@ def claims_other_year(name: Column | str, year: int) -> Column:
 
 
 def megabytes(size: Column | str) -> Column:
-    return F.format_string("%.1f MB", _c(size) / F.lit(1e6))
+    return F.concat(F.call_function("format_number", _c(size) / F.lit(1e6), F.lit("0.0")), F.lit(" MB"))
 
 
 def citation_key(key: Column | str, paper_id: Column | str, prefix: str = "preprint") -> Column:

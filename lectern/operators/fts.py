@@ -10,6 +10,7 @@ a phrase has to stand within one column while different terms may match differen
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -380,37 +381,51 @@ def _phrase_in(column: Column, terms: list[str], phrase: Phrase) -> Column:
 
 def _positions(column: Column, terms: list[str], phrase: Phrase) -> Column:
     """struct(start, size) of every occurrence in the column's tokens."""
-    words = F.split(F.trim(column), " ")
     n = len(terms)
 
-    def here(i: Column) -> Column:
-        tests = [F.get(words, i + k) == t for k, t in enumerate(terms)]
-        if phrase.prefix:
-            tests[-1] = F.startswith(F.get(words, i + (n - 1)), F.lit(terms[-1]))
-        found = F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
-        return found & (i == 0) if phrase.initial else found
+    def all_of(words: Column) -> Column:
+        def here(i: Column) -> Column:
+            tests = [F.get(words, i + k) == t for k, t in enumerate(terms)]
+            if phrase.prefix:
+                tests[-1] = F.startswith(F.get(words, i + (n - 1)), F.lit(terms[-1]))
+            found = F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
+            return found & (i == 0) if phrase.initial else found
 
-    return F.transform(F.filter(F.sequence(F.lit(0), F.size(words) - 1), here), lambda i: F.struct(i.alias("s"), F.lit(n).alias("n")))
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(words) - 1), here), lambda i: F.struct(i.alias("s"), F.lit(n).alias("n")))
+
+    return _bound(F.split(F.trim(column), " "), all_of)
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it stands in it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _near_in(column: Column, name: str, near: Near, analysis: Analysis) -> Column:
     """Some occurrence of each phrase such that at most ``distance`` tokens stand between
     the end of the first and the start of the last."""
-    places = []
+    places, there = [], []
     for phrase in near.phrases:
         variants = analysis.variants(phrase, name)
         if not variants:
             continue
         places.append(reduce(F.array_union, [_positions(column, v, phrase) for v in variants]))
+        there.append(reduce(lambda a, b: a | b, [_phrase_in(column, v, phrase) for v in variants]))
     if not places:
         return F.lit(False)
+    present = reduce(lambda a, b: a & b, there)  # cheap, and seldom true
     if len(places) == 1:
-        return F.size(places[0]) > 0
+        return present
+
+    def together(found: Column) -> Column:
+        every = [found[f"p{k}"] for k in range(len(places))]
+
+        def fits(first: Column) -> Column:
+            return reduce(lambda a, b: a & b, [F.exists(p, lambda x: (x["s"] >= first["s"]) & (x["s"] - (first["s"] + first["n"]) <= near.distance)) for p in every])
 
-    def fits(first: Column) -> Column:
-        return reduce(lambda a, b: a & b, [F.exists(p, lambda x: (x["s"] >= first["s"]) & (x["s"] - (first["s"] + first["n"]) <= near.distance)) for p in places])
+        return F.exists(reduce(F.array_union, every), fits)
 
-    return F.exists(reduce(F.array_union, places), fits)
+    return F.when(present, _bound(F.struct(*[p.alias(f"p{k}") for k, p in enumerate(places)]), together)).otherwise(F.lit(False))
 
 
 def _compile(node: Node, names: tuple[str, ...], analysis: Analysis) -> Column | None:

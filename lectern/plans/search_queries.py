@@ -16,6 +16,7 @@ from lectern.operators.query import Query
 from lectern.plans import sql
 from lectern.plans.tables import table
 from lectern.session import own_folder
+from lectern.sources import bibtex, oai
 from lectern.sources.files import json_rows
 from lectern.streaming.feed_stream import first_seen, merge_state
 
@@ -72,9 +73,17 @@ def _stemmed(p: DataFrame, wanted: Query) -> DataFrame:
     return query.search(query.searchable(p), wanted)
 
 
-_add("fts_search", _papers(lambda p: _stemmed(p, Query(terms='"group signatures" OR homomorphic encrypt', limit=query.SEARCH_LIMIT))))
-_add("fts_stemmed", _papers(lambda p: query.matching(query.searchable(p), Query(terms="committing signature", prefix=False)).select("id")))
-_add("fts_highlight", _papers(lambda p: query.highlighted(_stemmed(p, Query(terms='"hash functions" encrypting', limit=query.SEARCH_LIMIT)), Query(terms='"hash functions" encrypting'))))
+#: The words of the collection's language that a stem stands for.
+_WORDS = {"commit": "commit|commits|committed|committing|commitment|commitments", "signatur": "signature|signatures", "group": "group|groups|grouped|grouping", "hash": "hash|hashes|hashed|hashing"}
+_one_of = lambda stem: "(" + " OR ".join(f"regexp_matches({c}, ' ({_WORDS[stem]}) ')" for c in "tabc") + ")"
+_row = "id, title, authors, abstract, category, date, year, rights, url"
+_groups = " OR ".join(f"regexp_matches({c}, ' ({_WORDS['group']}) signatur')" for c in "tabc")
+_hashes = " OR ".join(f"regexp_matches({c}, ' ({_WORDS['hash']}) function')" for c in "tabc")
+_marked = lambda c: f"regexp_replace({c}, '\\b((?:{_WORDS['hash']})[^\\p{{L}}\\p{{N}}]+function[\\p{{L}}\\p{{N}}]*|encrypt[\\p{{L}}\\p{{N}}]*)', chr(1) || '\\1' || chr(2), 'gi')"
+_add("fts_search", _papers(lambda p: _stemmed(p, Query(terms='"group signatures" OR homomorphic encrypt', limit=query.SEARCH_LIMIT))), f"SELECT {_row} FROM {sql.ANALYSED} WHERE {_groups} OR ({_any(' homomorph')} AND {_any(' encrypt')}) ORDER BY date DESC, id DESC LIMIT 20")
+_add("fts_stemmed", _papers(lambda p: query.matching(query.searchable(p), Query(terms="committing signature", prefix=False)).select("id")), f"SELECT id FROM {sql.ANALYSED} WHERE {_one_of('commit')} AND {_one_of('signatur')}")
+_add("fts_stemmed_prefix", _papers(lambda p: query.matching(query.searchable(p), Query(terms="homomorphically")).select("id")), f"SELECT id FROM {sql.ANALYSED} WHERE {_any(' homomorph')}")
+_add("fts_highlight", _papers(lambda p: query.highlighted(_stemmed(p, Query(terms='"hash functions" encrypting', limit=query.SEARCH_LIMIT)), Query(terms='"hash functions" encrypting'))), f"SELECT {_row}, {_marked('title')} AS title_hl, {_marked('abstract')} AS abstract_hl FROM (SELECT * FROM {sql.ANALYSED} WHERE ({_hashes}) AND {_any(' encrypt')} ORDER BY date DESC, id DESC LIMIT 20)")
 
 
 def _indexed(s: SparkSession, d: str) -> DataFrame:
@@ -160,10 +169,12 @@ _last = f"list_transform({_arr}, lambda x: CASE WHEN len({_words}) > 0 THEN ({_w
 _add("short_authors", _papers(lambda p: p.select("id", biblio.short_authors("authors").alias("short"), biblio.full_authors("authors").alias("full"))), f"SELECT id, CASE WHEN len(n) = 0 THEN '—' WHEN len(n) <= 3 THEN array_to_string(l, ', ') ELSE array_to_string(l[1:2], ', ') || ' et al.' END AS short, CASE WHEN len(n) = 0 THEN '—' ELSE array_to_string(n, ', ') END AS full FROM (SELECT id, {_arr} AS n, {_last} AS l FROM papers)")
 _add("short_licenses", _papers(lambda p: p.select("id", biblio.short_license("rights").alias("license"))), "SELECT id, CASE WHEN contains(rights, 'publicdomain/zero') THEN 'CC0' WHEN regexp_extract(rights, 'licen[cs]es[^/]*/(?:[^/]*/)?([a-z]{2}(?:-[a-z]{2})*)/(\\d[\\d.]*)', 1) <> '' THEN 'CC-' || upper(regexp_extract(rights, 'licen[cs]es[^/]*/(?:[^/]*/)?([a-z]{2}(?:-[a-z]{2})*)/(\\d[\\d.]*)', 1)) || '-' || regexp_extract(rights, 'licen[cs]es[^/]*/(?:[^/]*/)?([a-z]{2}(?:-[a-z]{2})*)/(\\d[\\d.]*)', 2) ELSE left(rights, 24) END AS license FROM papers")
 _add("paragraphs", lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(biblio.paragraphs("text")).alias("pos", "paragraph")), "SELECT doc_id, (i - 1)::INTEGER AS pos, p AS paragraph FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\\r\\n?', E'\\n', 'g'), '\\n[ \\t]*(?:\\n[ \\t]*)+'), lambda b: trim(regexp_replace(b, '\\s*\\n\\s*', ' ', 'g'), ' ')), lambda b: b <> '') AS ps FROM documents))")
-_add("wrap_counts", _papers(lambda p: p.select("id", biblio.wrap_count("abstract", 40).alias("lines"))))
-_add("file_names", _papers(lambda p: p.select("id", biblio.file_name("id", "title").alias("name"), biblio.slug_words(biblio.file_name("id", "title")).alias("words"))))
+_add("wrap_counts", _papers(lambda p: p.select("id", biblio.wrap_count("abstract", 40).alias("lines"))), "SELECT id, CASE WHEN len(w) = 0 THEN 0 ELSE list_reduce(list_transform(w, lambda x: struct_pack(n := 1, used := length(x)::INTEGER)), lambda a, b: CASE WHEN a.used + 1 + b.used <= 40 THEN struct_pack(n := a.n, used := a.used + 1 + b.used) ELSE struct_pack(n := a.n + 1, used := b.used) END).n END AS lines FROM (SELECT id, list_filter(regexp_split_to_array(abstract, '\\s+'), lambda x: x <> '') AS w FROM papers)")
+_add("file_names", _papers(lambda p: p.select("id", biblio.file_name("id", "title").alias("name"), biblio.slug_words(biblio.file_name("id", "title")).alias("words"))), f"SELECT id, printf('%04d-%04d', y, n) || CASE WHEN slug = '' THEN '' ELSE '-' || slug END || '.pdf' AS name, replace(slug, '-', ' ') AS words FROM (SELECT id, regexp_extract(id, '^(\\d{{4}})/', 1)::INTEGER AS y, regexp_extract(id, '/(\\d+)$', 1)::INTEGER AS n, CASE WHEN len(w) = 0 THEN '' ELSE list_reduce(w[1:6], lambda a, b: CASE WHEN length(a) > 60 THEN a ELSE a || '-' || b END) END AS slug FROM (SELECT id, list_filter(string_split({sql.norm_title('title')}, ' '), lambda x: x <> '') AS w FROM papers))")
+_name = lambda: F.concat(F.replace("id", F.lit("/"), F.lit("-")), F.lit(".pdf"))
+_add("file_checks", _papers(lambda p: p.select("id", biblio.visible_length(F.concat(F.lit("\x1b[1m\x01"), "title", F.lit("\x02\x1b[0m"))).alias("seen"), biblio.names_paper(_name(), 2019, 16).alias("named"), biblio.claims_other_year(_name(), 2019).alias("other"), biblio.megabytes(F.octet_length("abstract") * 10000).alias("size"))), "SELECT id, length(title)::INTEGER AS seen, list_contains(list_transform(g, lambda x: x::BIGINT), 16) AND NOT other AS named, other, printf('%.1f MB', strlen(abstract) * 10000 / 1e6) AS size FROM (SELECT *, len(list_filter(g, lambda x: regexp_matches(x, '^(19|20)[0-9][0-9]$'))) > 0 AND NOT list_contains(g, '2019') AS other FROM (SELECT *, regexp_extract_all(id, '\\d+') AS g FROM papers))")
 _add("display_dates", _papers(lambda p: p.select("id", dates.display_date("date").alias("shown"), dates.format_iso(dates.parse_iso("date")).alias("iso"), dates.epoch_day(dates.parse_iso("date")).alias("day"), dates.human_age((F.unix_seconds(F.lit(NOW).cast("timestamp")) - F.unix_seconds(dates.parse_iso("date").cast("timestamp")))).alias("age"))), "SELECT id, CASE WHEN regexp_matches(date, '^\\d{4}-\\d{2}-\\d{2}') THEN regexp_replace(left(date, 10), '^(\\d{4})-(\\d{2})-(\\d{2})$', '\\3/\\2/\\1') ELSE date END AS shown, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, date_diff('day', DATE '1970-01-01', ts::DATE)::INTEGER AS day, CASE WHEN s < 90 THEN 'just now' WHEN s < 5400 THEN (s // 60) || ' minutes ago' WHEN s < 172800 THEN (s // 3600) || ' hours ago' WHEN s IS NOT NULL THEN (s // 86400) || ' days ago' END AS age FROM (SELECT id, date, ts, date_diff('second', ts, TIMESTAMP '2025-02-01') AS s FROM (SELECT id, date, CASE WHEN length(date) >= 19 THEN TRY_CAST(left(date, 19) AS TIMESTAMP) WHEN length(date) >= 10 THEN TRY_CAST(left(date, 10) AS TIMESTAMP) END AS ts FROM papers))")
-_add("json_export", _papers(json_rows))
+_add("json_export", _papers(json_rows), "SELECT id, to_json(struct_pack(id := id, title := title, authors := list_filter(string_split(authors, '; '), lambda x: x <> ''), abstract := abstract, category := category, date := date, year := year, license := rights, url := url))::VARCHAR AS json FROM papers")
 
 # -- change feed, arrivals, standing queries -------------------------------------------
 
@@ -179,6 +190,13 @@ _add("incremental_window", _papers(lambda p: feed.incremental_from(p, datetime(2
 _feed_columns = ("id", "added", "date")
 _add("feed_since", _papers(lambda p: feed.since(p, datetime(2024, 12, 20)).select(*_feed_columns)), "SELECT id, added, date FROM papers WHERE added > TIMESTAMP '2024-12-20' ORDER BY added DESC, date DESC, id DESC LIMIT 500")
 _add("feed_floor", _papers(lambda p: feed.feed(p, feed.FeedState(datetime(2030, 1, 1)), datetime(2030, 1, 2)).rows.select(*_feed_columns)), "SELECT id, added, date FROM papers WHERE added IS NOT NULL ORDER BY added DESC, date DESC, id DESC LIMIT 10")
+_batch = "SELECT id, added, date FROM papers WHERE added > TIMESTAMP '2024-12-01' ORDER BY added DESC, date DESC, id DESC LIMIT 500"
+_seen = feed.FeedState(datetime(2030, 1, 1), datetime(2024, 12, 1))
+_enough = f"(SELECT count(*) FROM ({_batch})) >= 10"
+_replayed = f"(SELECT * FROM ({_batch}) WHERE {_enough} UNION ALL SELECT * FROM (SELECT id, added, date FROM papers WHERE added IS NOT NULL ORDER BY added DESC, date DESC, id DESC LIMIT 10) WHERE NOT {_enough})"
+_add("feed_replay", _papers(lambda p: feed.feed(p, _seen, datetime(2030, 1, 2)).rows.select(*_feed_columns)), f"SELECT * FROM {_replayed}")
+_add("feed_limit", _papers(lambda p: feed.feed(p, _seen, datetime(2030, 1, 2), limit=3).rows.select(*_feed_columns)), f"SELECT * FROM {_replayed} ORDER BY added DESC, date DESC, id DESC LIMIT 3")
+_add("feed_label", _papers(lambda p: p.sparkSession.createDataFrame([(feed.feed(p, _seen, datetime(2030, 1, 2)).label,)], "label string")), f"SELECT CASE WHEN {_enough} THEN 'last batch, from ' || strftime((SELECT max(added) FROM papers), '%Y-%m-%d %H:%M') ELSE 'nothing new since 2030-01-01 00:00' END AS label")
 WATCHES = [watch.Watch.make('"hash functions"'), watch.Watch.make(author="Tinsuadez, Günther"), watch.Watch.make("encryption", category="protocols"), watch.Watch.make("signatures", scope="title")]
 _hash, _tins, _enc, _sig = (w.label() for w in WATCHES)
 _hits = f"""
@@ -199,6 +217,31 @@ _add("watch_listing", lambda s, d: watch.listing(_watch_hits(s, d), WATCHES).sel
 _add("only_watched", lambda s, d: query.matching(table(s, d, "papers"), Query(only_watched=True, year=2022), _watch_hits(s, d)).select("id"), f"SELECT id FROM papers WHERE year = 2022 AND id IN (SELECT id FROM ({_hits}))")
 _add("watch_sync", lambda s, d: watch.sync(_watch_hits(s, d), query.searchable(table(s, d, "papers"), False), WATCHES[1:], [_hash, _tins, _enc], stemmed=False), f"SELECT id, label FROM ({_hits}) WHERE label <> '{_hash}'")
 
+# -- sources: what queries write and read again ------------------------------------------
+
+
+def _bibtex(s: SparkSession, d: str) -> DataFrame:
+    """All bibliography entries as BibTeX files, read again."""
+    path = f"{own_folder(s)}/bib-{uuid.uuid4().hex}"
+    table(s, d, "bib_entries").select(F.coalesce("raw", F.lit("")).alias("value")).write.text(path)
+    return bibtex.read_bibtex(s, path).select("key", "howpublished").distinct()
+
+
+_add("bibtex_entries", _bibtex, "SELECT DISTINCT key, trim(regexp_extract(raw, 'howpublished\\s*=\\s*[{\"]([^}\"]*)', 1)) AS howpublished FROM bib_entries WHERE raw LIKE '@%' AND length(replace(raw, '{', '')) = length(replace(raw, '}', ''))")
+
+
+def _oai(s: SparkSession, d: str) -> DataFrame:
+    """All records of the feed as pages of XML, read again."""
+    feed_ = table(s, d, "cdc_records")
+    header = F.struct(F.when(F.col("op") == "deleted", "deleted").alias("_status"), F.col("id").alias("identifier"), F.col("seq").cast("string").alias("datestamp"))
+    dc = F.struct(F.array("title").alias("title"), F.col("creators").alias("creator"), F.col("descriptions").alias("description"), F.col("subjects").alias("subject"), F.col("dates").alias("date"), F.col("identifiers").alias("identifier"), F.array("rights").alias("rights"))
+    path = f"{own_folder(s)}/oai-{uuid.uuid4().hex}"
+    feed_.select(header.alias("header"), F.struct(dc.alias("dc")).alias("metadata")).write.format("xml").option("rootTag", "ListRecords").option("rowTag", "record").save(path)
+    return oai.read_pages(s, path).select(F.col("datestamp").cast("long").alias("seq"), "op", F.trim("id").alias("id"), "title", F.size("creators").alias("creators"), F.array_join("dates", " ").alias("dates"))
+
+
+_add("oai_records", _oai, "SELECT seq, op, trim(id, E' \\t\\n\\r') AS id, trim(title, E' \\t\\n\\r') AS title, coalesce(len(creators), 0)::INTEGER AS creators, coalesce(array_to_string(dates, ' '), '') AS dates FROM cdc_records WHERE trim(id, ' ') <> ''")
+
 # -- links -----------------------------------------------------------------------------
 
 
@@ -216,6 +259,13 @@ links AS (SELECT paper_id, x.key AS key, 'published' AS kind, x.year AS year, x.
 best AS (SELECT paper_id, arg_max(struct_pack(key := key, is_published := kind = 'published', entry := entry), (kind = 'published', key)) AS x FROM links GROUP BY paper_id)
 """
 _add("links", _links, f"{_links_sql} SELECT * FROM links")
+def _upserted(s: SparkSession, d: str) -> DataFrame:
+    """Every link sent twice, the second time under another key."""
+    links = _links(s, d).withColumn("n", F.lit(1))
+    return link.upsert_links(links.unionByName(links.withColumns({"n": F.lit(2), "key": F.concat(F.lit("new:"), "key")})), "n")
+
+
+_add("links_upserted", _upserted, f"{_links_sql} SELECT paper_id, 'new:' || key AS key, kind, year, entry, 2 AS n FROM links")
 _add("link_published", lambda s, d: link.link_published(table(s, d, "papers"), table(s, d, "bib_entries")).select("paper_id", "key", "year"), f"{_links_sql} SELECT paper_id, key, year FROM links WHERE kind = 'published'")
 _add("best_links", lambda s, d: link.best_links(_links(s, d)), f"{_links_sql} SELECT paper_id, x.key AS key, x.is_published AS is_published, x.entry AS entry FROM best")
 _add("papers_with_links", lambda s, d: link.with_links(table(s, d, "papers").select("id", "title"), _links(s, d)).withColumn("key", biblio.citation_key("key", "id")), f"{_links_sql} SELECT id, title, coalesce(x.key, 'preprint:' || id) AS key, x.is_published AS is_published FROM papers LEFT JOIN best ON paper_id = id")
