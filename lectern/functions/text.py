@@ -3,17 +3,17 @@
 A searchable column gets an analysed twin: its tokens, one space between them and one at
 either end.  A term is then ``contains(' t ')``, a prefix ``contains(' t')``, a phrase
 ``contains(' a b ')``, all plain string expressions that Catalyst compiles.  Tokens are
-runs of letters and digits, lower case, accents of Latin letters off.  Stemming is one
-narrow Arrow pass at ingest whose work is per distinct word, never at query time.
+runs of letters and digits, lower case, accents of Latin letters off.  Stemming is the one
+step in Python, over Arrow batches of the analysed columns alone: filters on other columns
+run before it and reach the scan, and columns nobody asks for are not read.  It belongs to
+ingest: write the analysed table once and search that.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,8 +59,10 @@ def stems_of(text: str) -> list[str]:
     return [stem(t) for t in tokens_of(text)]
 
 
-def _stem_column(column: pa.Array) -> pa.Array:
-    return pa.array([None if v is None else " ".join(map(stem, v.split(" "))) for v in column.to_pylist()], pa.string())
+def stemmed_column(tokens: Column | str) -> Column:
+    """A string of tokens with each one's stem in its place; the rest of a row stays in the JVM."""
+    run = F.pandas_udf(lambda values: values.map(lambda v: None if v is None else " ".join(map(stem, v.split(" ")))), T.StringType())
+    return run(F.col(tokens) if isinstance(tokens, str) else tokens)
 
 
 def analyse(df: DataFrame, columns: dict[str, str], stemmed: bool = True) -> DataFrame:
@@ -72,15 +74,7 @@ def analyse(df: DataFrame, columns: dict[str, str], stemmed: bool = True) -> Dat
     out = df.withColumns({target: tokens_string(source) for source, target in columns.items()})
     if not stemmed:
         return out
-    targets = list(columns.values())
-    schema = T.StructType(out.schema.fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            arrays = [_stem_column(a) if name in targets else a for name, a in zip(batch.schema.names, batch.columns)]
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
-
-    return out.mapInArrow(run, schema)
+    return out.withColumns({target: stemmed_column(target) for target in columns.values()})
 
 
 # -- marking matches -------------------------------------------------------------------

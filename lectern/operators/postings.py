@@ -42,8 +42,7 @@ def build(papers: DataFrame, path: str, buckets: int = BUCKETS) -> None:
 
 
 def _term(index: DataFrame, stem: str, buckets: int) -> DataFrame:
-    bucket = index.sparkSession.range(1).select(bucket_of(F.lit(stem), buckets).alias("b")).first()["b"]
-    return index.filter((F.col("bucket") == bucket) & (F.col("stem") == stem)).select("id")
+    return index.filter((F.col("bucket") == bucket_of(F.lit(stem), buckets)) & (F.col("stem") == stem)).select("id")  # a constant, so other buckets are not read
 
 
 def _prefix(index: DataFrame, stem: str) -> DataFrame:
