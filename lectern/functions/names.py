@@ -124,8 +124,10 @@ _OTHER = re.compile(r"[\W_]+")
 
 
 def ascii_fold_text(name: str) -> str:
-    out = re.sub("[̀-ͯ]", "", name.lower())
-    out = "".join(LIGATURES.get(c) or BASE.get(c, c) for c in out)
+    out = name.lower()
+    if not out.isascii():
+        out = re.sub("[̀-ͯ]", "", out)
+        out = "".join(LIGATURES.get(c) or BASE.get(c, c) for c in out)
     return _OTHER.sub(" ", out).strip()
 
 

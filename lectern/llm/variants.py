@@ -19,16 +19,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.names import ascii_fold_text, fold_text
+from lectern.functions.names import ascii_fold_text
+from lectern.functions.names import fold_text as _fold_text
 from lectern.llm.characters import ALIKE, INVISIBLE
 from lectern.llm.metric import radius_pairs
 from lectern.session import checkpoint, discard, written
 
+#: Words of names come again and again.
+fold_text = lru_cache(1 << 15)(_fold_text)
 #: A slip: one edit or one swap of neighbours.
 RADIUS = 1
 #: Short forms of given names and the names they stand for.
@@ -64,6 +68,7 @@ def _kind(word: str) -> str | None:
     return known if known and known.startswith(word) else None
 
 
+@lru_cache(1 << 15)
 def _initials(token: str, shout: bool) -> str | None:
     """The letters of a token of initials; None for a word."""
     bare = token.strip(".-")
@@ -72,11 +77,15 @@ def _initials(token: str, shout: bool) -> str | None:
     return None
 
 
+def _cleaned(name: str) -> str:
+    return name if name.isascii() else name.translate(_CLEAN)
+
+
 def parse(name: str | None, fold=fold_text) -> dict:
     """What a spelling consists of, its words reduced by ``fold``.  ``shape``: org, full (given and surname as words, the
     order still open unless ``fixed``), initial (given names as initials) or none."""
     out = {"shape": "none", "fixed": False, "head": "", "tail": "", "words": [], "middle": "", "surname": "", "particle": ""}
-    text = (name or "").translate(_CLEAN)
+    text = _cleaned(name or "")
     text = re.sub(r"[{}\"]", "", text)
     parts = [p.strip() for p in text.split(",")]
     parts = [p for p in parts if p and fold_text(p) not in SUFFIXES]
@@ -143,7 +152,7 @@ _PARSED = "name_id long, shape string, fixed boolean, head string, tail string,
 
 def _particles(name: str | None) -> str:
     """The particles of a surname, joined; '' if it has none."""
-    words = [fold_text(w) for w in (name or "").translate(_CLEAN).replace(",", " ").split()]
+    words = [fold_text(w) for w in _cleaned(name or "").replace(",", " ").split()]
     return "".join(w for w in words if w in PARTICLES)
 
 
@@ -168,8 +177,11 @@ def _slip(a: str, b: str) -> bool:
         return True
     if abs(len(a) - len(b)) > 1:
         return False
+    n = min(len(a), len(b))
+    if n > 2 and a[0] != b[0] and a[-1] != b[-1]:
+        return False
     k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
+    while k < n and a[k] == b[k]:
         k += 1
     if len(a) == len(b):
         return a[k + 1 :] == b[k + 1 :] or (a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :])

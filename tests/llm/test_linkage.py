@@ -135,3 +135,17 @@ def test_other_years(spark):
     e = spark.createDataFrame(entries, "key string, title string, author string, year string")
     got = {r.bib_key: r.paper_id for r in link_works(p, e).collect() if r.bib_key[0] in "QR"}
     assert got == want | {"R2": "1991/2"}
+
+
+def test_work_per_record(spark):
+    """Texts that many records repeat are taken apart once; a record brings a row per part
+    of its title to the blocks, not one per part and author."""
+    papers = [(f"2020/{i:03d}", f"Keyed Lattice Proofs for Masked Voting {i % 5}", "Ana Dorn; Bo Fox; Cy Gray; Di Hill", 2020) for i in range(400)] + [("2021/1", None, None, None), ("2021/2", "", "", None)]
+    p = spark.createDataFrame(papers, "id string, title string, authors string, year int")
+    once = linkage.read_once(linkage._source(p, "id", "title", "authors", "year"))
+    assert {r.rec for r in once.collect()} == {*(f"2020/{i:03d}" for i in range(5)), "2021/1"}
+    keys = linkage.keys_of(linkage._features(once), True).collect()
+    assert len(keys) == 5 * 5 and all(len(k.tags) >= 5 for k in keys)  # the whole title, and three of four words
+    e = spark.createDataFrame([(f"C{i}", p_[1], "Dorn, Ana and Fox, Bo and Gray, Cy and Hill, Di", "2020") for i, p_ in enumerate(papers[:400])], "key string, title string, author string, year string")
+    got = {r.bib_key: r.paper_id for r in link_works(p, e, 0.0).collect()}
+    assert got == {f"C{i}": f"2020/{i % 5:03d}" for i in range(400)}
